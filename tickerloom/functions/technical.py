@@ -28,7 +28,7 @@ def forward_fill(c: Column, w: WindowSpec) -> Column:
 
 def pct_change(c: Column, n: int, w: WindowSpec) -> Column:
     """c / c n rows ago - 1; pass a forward-filled column to bridge gaps."""
-    return c / F.lag(c, n).over(w) - 1.0
+    return F.try_divide(c, F.lag(c, n).over(w)) - 1.0
 
 
 def rolling_mean(c: Column, n: int, w: WindowSpec) -> Column:
@@ -62,7 +62,7 @@ def ma_cross(c: Column, fast: int, slow: int, w: WindowSpec) -> Column:
 
 
 def volume_ratio(v: Column, n: int, w: WindowSpec) -> Column:
-    return v / rolling_mean(v, n, w)
+    return F.try_divide(v, rolling_mean(v, n, w))
 
 
 def price_position(c: Column, n: int, w: WindowSpec) -> Column:

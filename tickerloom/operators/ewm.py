@@ -65,4 +65,4 @@ def ewm(df: DataFrame, spans: dict, key: str = "stock_code", order: str = "trade
 def macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, key="stock_code", order="trade_date") -> DataFrame:
     """+macd: difference of two means relative to the price."""
     e = ewm(df, {price: [("_fast", fast), ("_slow", slow)]}, key, order)
-    return e.withColumn("macd", (F.col("_fast") - F.col("_slow")) / F.col(price)).drop("_fast", "_slow")
+    return e.withColumn("macd", F.try_divide(F.col("_fast") - F.col("_slow"), F.col(price))).drop("_fast", "_slow")

@@ -42,7 +42,7 @@ def technical_panel(bars: DataFrame, horizon: int = 5, threshold: float = 0.01,
 def forward_label(df: DataFrame, price: str = "close", horizon: int = 5, threshold: float = 0.01) -> DataFrame:
     """+future_ret_5d, label_up_5d (strictly above the threshold, NULL when unknown)."""
     ahead = F.lead(price, horizon).over(t.by_stock())
-    df = df.withColumn("future_ret_5d", ahead / F.col(price) - 1.0)
+    df = df.withColumn("future_ret_5d", F.try_divide(ahead, F.col(price)) - 1.0)
     return df.withColumn("label_up_5d", (F.col("future_ret_5d") > threshold).cast("double"))
 
 
@@ -139,12 +139,12 @@ def tech_snapshot(bars: DataFrame) -> DataFrame:
         safe_float(F.col("_s5")),
         safe_float(F.col("_s20")),
         safe_float(F.col("_rsi"), 0.5),
-        safe_float((F.col("_fast") - F.col("_slow")) / c * 100.0),
+        safe_float(F.try_divide(F.col("_fast") - F.col("_slow"), c) * 100.0),
         safe_float(F.col("_bb"), 0.5),
         vr,
         safe_float(F.col("_pp"), 0.5),
         trend,
-        safe_float((F.col("_ma5") - F.col("_ma20")) / F.col("_ma20") * 100.0),
+        safe_float(F.try_divide(F.col("_ma5") - F.col("_ma20"), F.col("_ma20")) * 100.0),
         safe_float(F.col("_m10")),
     )
     zeros = F.array_repeat(F.lit(0.0), 12)

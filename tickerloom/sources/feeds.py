@@ -98,7 +98,7 @@ def normalize_feed_xml(feeds: DataFrame, col: str = "xml", source_name: str = ""
     items = F.concat(*[F.coalesce(x, none) for x in (F.col("d.channel.item"), F.col("d.item"), F.col("d.entry"))])
     rows = doc.select(*keep, F.explode(items).alias("i"))
     text = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(f"i.{n}")), F.lit("")) for n in names], F.lit(""))
-    link = F.element_at(F.col("i.link"), 1)
+    link = F.get(F.col("i.link"), 0)
     url = F.coalesce(
         F.nullif(F.trim(link["_href"]), F.lit("")), F.nullif(F.trim(link["_VALUE"]), F.lit("")), F.nullif(text("guid", "id"), F.lit("")), F.lit("")
     )
