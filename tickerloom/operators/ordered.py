@@ -6,8 +6,9 @@ holds most of the data is thus spread over many tasks.
 """
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -23,11 +24,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def _same(a: DataFrame, b: DataFrame, keys) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tickerloom/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors and
+    lets later passes read only the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def with_bucket(df: DataFrame, order: str, by=(), bits: int = 6) -> DataFrame:
@@ -55,7 +63,7 @@ def with_bucket(df: DataFrame, order: str, by=(), bits: int = 6) -> DataFrame:
 
 
 def running_total(df: DataFrame, order: str, cols, by=(), bits: int = 6) -> DataFrame:
-    """+cum_<col>: inclusive running sum in ascending ``order``, which is unique per group."""
+    """+cum_<col>, +all_<col>: running sum in ascending ``order`` (unique per group) and group total."""
     by, cols = list(by), list(cols)
     parts = with_bucket(df, order, by, bits)
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,6 +74,7 @@ def running_total(df: DataFrame, order: str, cols, by=(), bits: int = 6) -> Data
             *[F.col(k).alias(f"_g_{k}") for k in by],
             F.col("_bucket").alias("_cb"),
             *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols],
+            *[F.sum(f"_t_{c}").over(Window.partitionBy(*by)).alias(f"all_{c}") for c in cols],
         )
     )
     cond = F.col("_bucket") == F.col("_cb")
@@ -76,7 +85,9 @@ def running_total(df: DataFrame, order: str, cols, by=(), bits: int = 6) -> Data
     )
     out = parts.join(carry, cond)
     return out.select(
-        *df.columns, *[(F.col(f"_o_{c}") + F.sum(c).over(here)).alias(f"cum_{c}") for c in cols]
+        *df.columns,
+        *[(F.col(f"_o_{c}") + F.sum(c).over(here)).alias(f"cum_{c}") for c in cols],
+        *[f"all_{c}" for c in cols],
     )
 
 
@@ -90,12 +101,9 @@ def exact_median(df: DataFrame, cols) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])).alias("p")
     ).select("p.*")
     counts = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("col", "v").agg(F.count("*").alias("n"))
-    totals = counts.groupBy(F.col("col").alias("_c")).agg(F.sum("n").alias("total"))
-    ranked = running_total(counts, "v", ["n"], by=["col"]).join(
-        F.broadcast(totals), F.col("col") == F.col("_c")
-    )
-    lo = F.floor((F.col("total") + 1) / 2)
-    hi = F.floor(F.col("total") / 2) + 1
+    ranked = running_total(counts, "v", ["n"], by=["col"])
+    lo = F.floor((F.col("all_n") + 1) / 2)
+    hi = F.floor(F.col("all_n") / 2) + 1
     has = lambda r: (F.col("cum_n") - F.col("n") < r) & (r <= F.col("cum_n"))
     return (
         ranked.groupBy("col")

@@ -186,8 +186,8 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     ts = F.lit("2001-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * 37 % 4320).cast("int"))
     return d.select(
         F.col("doc_id").alias("arrival"),
-        F.substring("text", 1, 40).alias("title"),
-        F.col("text").alias("content"),
+        F.trim(F.substring("text", 1, 40)).alias("title"),
+        F.trim("text").alias("content"),
         ts.alias("publish_time"),
         F.concat(F.lit("https://Example.com/d/"), F.col("n_chars").cast("string"), F.lit("?q="), F.col("doc_id").cast("string")).alias("url"),
         F.col("source"),
@@ -197,7 +197,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 cte(
     "fx_docs0",
-    """SELECT doc_id AS arrival, substr("text", 1, 40) AS title, "text" AS content,
+    """SELECT doc_id AS arrival, trim(substr("text", 1, 40)) AS title, trim("text") AS content,
     TIMESTAMP '2001-01-01' + to_minutes(CAST(doc_id * 37 % 4320 AS INT)) AS publish_time,
     'https://Example.com/d/' || CAST(n_chars AS VARCHAR) || '?q=' || CAST(doc_id AS VARCHAR) AS url, source, lang, n_chars FROM documents""",
 )

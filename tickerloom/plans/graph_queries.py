@@ -197,9 +197,8 @@ def q_static(spark, sf):
 def b45(spark, sf):
     """Suppliers with brands and nations renamed to the terms of the rules."""
     names = {"Brand#1": "行业龙头", "Brand#2": "领涨股", "Brand#3": "消费升级"}
-    renamed = F.col("concepts")
-    for old, new in names.items():
-        renamed = F.transform(renamed, lambda x, o=old, n=new: F.when(x == o, n).otherwise(x))
+    swap = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    renamed = F.transform("concepts", lambda x: F.coalesce(F.try_element_at(swap, x), x))
     nation = fx.table(spark, sf, "supplier").select(codes.pad_code(F.col("s_suppkey")).alias("stock_code"), (F.col("s_nationkey") % 3).alias("_k"))
     industry = F.when(F.col("_k") == 0, "银行").when(F.col("_k") == 1, "保险").otherwise("零售")
     c = fx.company(spark, sf).join(nation, "stock_code").withColumns({"concepts": renamed, "industry": industry})
