@@ -57,4 +57,4 @@ def j4(spark, sf):
 
 @query("j5_stream_shock_alert", f"SELECT * FROM ({BUCKETS}) WHERE news_count >= 8 OR abs(avg_sentiment) >= 0.45", d="avg_sentiment news_sentiment_abs_sum", i="news_count")
 def j5(spark, sf):
-    return run_available(st.stream_shock_alert(stream(spark, sf)), "update", "j5")
+    return run_available(st.stream_shock_alert(stream(spark, sf)), "update", "j5", ["stock_code", "close_ts"])

@@ -1,22 +1,30 @@
 """Run a stream to the end of its input and give the result as a table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.operators.ordered import scratch_path
 
 
-def run_available(sdf: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
+def run_available(sdf: DataFrame, mode: str = "append", name: str = "stream", keys=()) -> DataFrame:
     """Process what is available into the shared folder and read it back.
 
-    append goes to the transactional Parquet sink. complete and update overwrite one table per
-    micro-batch, which is repeatable when a batch is retried; update leaves the last batch's rows.
+    append goes to the transactional Parquet sink. complete overwrites the table and update one
+    folder per micro-batch, so a retried batch repeats its output; of updated rows the latest per
+    ``keys`` is kept.
     """
     spark = sdf.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     writer = sdf.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
-    else:
+    elif mode == "complete":
         query = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(out)).start()
+    else:
+        query = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")).start()
     query.awaitTermination()
-    return spark.read.schema(sdf.schema).parquet(out)
+    table = spark.read.parquet(out)
+    if mode == "update":
+        rest = [c for c in sdf.columns if c not in keys]
+        latest = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+        return latest.select(*keys, "r.*").select(*sdf.columns)
+    return table
