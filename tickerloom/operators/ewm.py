@@ -2,11 +2,16 @@
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK = 256
 
 
+def _enter(name: str, first: Column) -> Column:
+    """Mean at the start of a chunk, folded over the ends of the chunks before it."""
+    return F.aggregate("_ends", first, lambda y, e: e[f"a_{name}"] * y + e[f"s_{name}"])
+
+
 def ewm(df: DataFrame, spans: dict, key: str = "stock_code", order: str = "trade_date") -> DataFrame:
     """Add adjust=False exponential means; ``spans`` is {column: [(output, span), ...]}.
 
@@ -18,28 +23,33 @@ def ewm(df: DataFrame, spans: dict, key: str = "stock_code", order: str = "trade
     w = Window.partitionBy(key).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("_pos", F.row_number().over(w))
-    out = out.withColumn("_chunk", F.floor((F.col("_pos") - 1) / CHUNK))
-    here = Window.partitionBy(key, "_chunk").orderBy(order)
-    running = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = {}
-    for c in spans:
+    sparse = {c for c in spans if df.schema[c].nullable}
+    marks = {"_pos": F.row_number().over(w), **{f"_x0_{c}": F.first(c, ignorenulls=True).over(upto) for c in spans}}
+    out = df.withColumns(marks).withColumn("_chunk", F.floor((F.col("_pos") - 1) / CHUNK))
+    gaps = {}
+    for c in sparse:
         valid = F.when(F.col(c).isNotNull(), F.col("_pos"))
-        ends[f"_gap_{c}"] = F.col("_pos") - F.coalesce(F.last(valid, ignorenulls=True).over(before), F.col("_pos") - 1)
-        ends[f"_x0_{c}"] = F.first(c, ignorenulls=True).over(upto)
-    out = out.withColumns(ends)
+        gaps[f"_gap_{c}"] = F.col("_pos") - F.coalesce(F.last(valid, ignorenulls=True).over(before), F.col("_pos") - 1)
+    out = out.withColumns(gaps)
     jobs = [(c, name, float(span)) for c, outs in spans.items() for name, span in outs]
     gain = {}
     for c, name, span in jobs:
         if span <= 1:
             raise ValueError("a span must be above 1")
         alpha = 2.0 / (span + 1.0)
-        past = F.exp(F.col(f"_gap_{c}") * math.log(1.0 - alpha))
-        seen = F.col(c).isNotNull()
-        gain[f"_a_{name}"] = F.when(seen, past / (past + alpha)).otherwise(1.0)
-        gain[f"_bx_{name}"] = F.when(seen, alpha / (past + alpha) * F.col(c)).otherwise(0.0)
+        keep = math.log(1.0 - alpha)
+        if c in sparse:
+            past, seen = F.exp(F.col(f"_gap_{c}") * keep), F.col(c).isNotNull()
+            gain[f"_la_{name}"] = F.when(seen, F.log(past / (past + alpha))).otherwise(0.0)
+            gain[f"_bx_{name}"] = F.when(seen, alpha / (past + alpha) * F.col(c)).otherwise(0.0)
+        else:
+            gain[f"_p_{name}"] = (F.col("_pos") - F.col("_chunk") * CHUNK) * keep
+            gain[f"_bx_{name}"] = alpha * F.col(c)
     out = out.withColumns(gain)
-    out = out.withColumns({f"_p_{n}": F.sum(F.log(f"_a_{n}")).over(running) for _, n, _ in jobs})
+    # both window kinds below need the rows sorted by key, chunk and order only
+    running = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(key).orderBy("_chunk", order).rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({f"_p_{n}": F.sum(f"_la_{n}").over(running) for c, n, _ in jobs if c in sparse})
     out = out.withColumns(
         {
             f"_s_{n}": F.exp(f"_p_{n}") * F.sum(F.col(f"_bx_{n}") * F.exp(-F.col(f"_p_{n}"))).over(running)
@@ -47,18 +57,11 @@ def ewm(df: DataFrame, spans: dict, key: str = "stock_code", order: str = "trade
         }
     )
     last_of_chunk = F.col("_pos") % CHUNK == 0
-    out = out.withColumns(
-        {
-            f"_e_{n}": F.collect_list(
-                F.when(last_of_chunk, F.struct(F.exp(f"_p_{n}").alias("a"), F.col(f"_s_{n}").alias("s")))
-            ).over(before)
-            for _, n, _ in jobs
-        }
-    )
+    state = [x for _, n, _ in jobs for x in (F.exp(f"_p_{n}").alias(f"a_{n}"), F.col(f"_s_{n}").alias(f"s_{n}"))]
+    out = out.withColumn("_ends", F.collect_list(F.when(last_of_chunk, F.struct(*state))).over(before))
     result = {}
     for c, n, _ in jobs:
-        enter = F.aggregate(f"_e_{n}", F.col(f"_x0_{c}"), lambda y, e: e["a"] * y + e["s"])
-        result[n] = F.exp(f"_p_{n}") * enter + F.col(f"_s_{n}")
+        result[n] = F.exp(f"_p_{n}") * _enter(n, F.col(f"_x0_{c}")) + F.col(f"_s_{n}")
     return out.withColumns(result).select(*df.columns, *[n for _, n, _ in jobs])
 
 

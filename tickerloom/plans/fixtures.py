@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """documents; a file with fewer splits than cores is spread before the heavy text work."""
+    d = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return d if d.rdd.getNumPartitions() >= cores else d.repartition(cores)
+
+
 def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
@@ -61,7 +68,7 @@ cte(
 
 def news(spark: SparkSession, sf: str) -> DataFrame:
     """Scored items from events, on January 2001."""
-    n = table(spark, sf, "supplier").agg(F.count("*")).scalar()
+    n = table(spark, sf, "supplier").count()
     k = F.get_json_object("props", "$.k").cast("int")
     v = (F.col("value") - 50) / 50
     return table(spark, sf, "events").select(
@@ -182,7 +189,7 @@ cte(
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Text items from documents; times and URLs repeat so that copies meet."""
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     ts = F.lit("2001-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * 37 % 4320).cast("int"))
     return d.select(
         F.col("doc_id").alias("arrival"),

@@ -277,7 +277,7 @@ cte("en_hash", "SELECT stock_code, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT)
 
 
 def stock_docs(spark, sf):
-    n = fx.table(spark, sf, "supplier").agg(F.count("*")).scalar()
+    n = fx.table(spark, sf, "supplier").count()
     d = fx.docs(spark, sf).withColumn("stock_code", codes.pad_code(F.col("arrival") % n))
     return d.withColumn("sentiment", (F.col("arrival") % 11 - 5) / 10.0)
 
