@@ -232,6 +232,34 @@ NEWS_COLUMNS = [
 ]
 NON_FEATURES = ["date", "trade_date", "stock_code", "stock_name", "future_ret_5d", "label_up_5d"]
 
+# Words of the text statistics, sector order of the predictor, industry -> sector.
+TEXT_POSITIVE = ["增长", "利好", "上涨", "增持", "突破", "回购", "盈利", "超预期", "高景气", "订单"]
+TEXT_NEGATIVE = ["下滑", "利空", "下跌", "减持", "亏损", "风险", "处罚", "违约", "暴雷", "裁员"]
+PREDICTOR_SECTORS = [
+    "银行", "证券", "保险", "地产", "汽车", "科技", "医药", "消费", "能源", "军工", "基建", "传媒", "教育", "农业", "交通",
+]
+INDUSTRY_SECTORS = {
+    "银行": "金融",
+    "证券": "金融",
+    "保险": "金融",
+    "白酒": "消费",
+    "家电": "消费",
+    "房地产": "地产",
+    "机场": "交通",
+    "汽车": "制造",
+    "医药": "医疗",
+    "科技": "科技",
+    "能源": "能源",
+}
+SOURCE_ALIASES = {
+    "东方财富": "eastmoney",
+    "财经新闻": "eastmoney",
+    "新浪": "sina",
+    "新浪财经": "sina",
+    "腾讯": "tencent",
+    "腾讯财经": "tencent",
+}
+
 # Fixed values: (metric of the candidate, metric of the baseline), first comparable pair wins.
 GATE_METRICS = [
     ("test_prediction_auc", "auc"),

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tickerloom.functions.codes import normalize_url
 from tickerloom.functions.text import news_quality_score, normalize_text, strip_html
 from tickerloom.functions.timing import bucket_30m
-from tickerloom.operators.ordered import ensure_checkpoint_dir, with_bucket
+from tickerloom.operators.ordered import ensure_checkpoint_dir, materialize, with_bucket
 
 
 def dedupe_by_date(df: DataFrame, key: str = "stock_code", day: str = "trade_date", order=()) -> DataFrame:
@@ -73,9 +73,10 @@ def _leaders(keys: DataFrame, bits: int) -> DataFrame:
     per_item = Window.partitionBy("arr")
     decided = known.withColumn("_dec", F.min(F.when(F.col("_known"), F.col("prio"))).over(per_item))
     decided = decided.withColumn("_by_key", F.col("prio") == F.coalesce("_dec", F.lit(0)))
+    decided = materialize(decided.select("arr", "key", "_dec", "_by_key"), "keys")
     opener = decided.withColumn("_o", F.when(~F.col("_by_key"), F.col("arr")))
     # the latest opener before each row, carried across arrival buckets so hot keys are split
-    parts = with_bucket(opener, "arr", bits=bits)
+    parts = with_bucket(opener, "arr", bits=bits, cuts_from=decided.select("arr"))
     before = Window.partitionBy("key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = parts.groupBy("key", "_bucket").agg(F.max("_o").alias("_m")).select(
         "key", "_bucket", F.max("_m").over(before).alias("_carry")
@@ -114,12 +115,12 @@ def _resolve(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
     return parents.join(top, "parent").select("arr", "slot")
 
 
-def news_slots(news: DataFrame, arrival: str = "arrival", bits: int = 6) -> DataFrame:
+def news_slots(news: DataFrame, arrival: str = "arrival", bits: int = 8) -> DataFrame:
     """(arr, slot) of every item that has a key; slot is the arrival number that opened it."""
     return _resolve(_leaders(news_keys(news, arrival), bits))
 
 
-def multi_key_dedupe(news: DataFrame, arrival: str = "arrival", bits: int = 6) -> DataFrame:
+def multi_key_dedupe(news: DataFrame, arrival: str = "arrival", bits: int = 8) -> DataFrame:
     """One item per slot: the best quality, the earliest among equals; newest first.
 
     Equals visiting the items one by one in order of ``arrival`` (a unique number), pointing

@@ -38,8 +38,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def with_bucket(df: DataFrame, order: str, by=(), bits: int = 6) -> DataFrame:
-    """+_bucket in [0, 2**bits), non-decreasing in ``order`` (numeric) within each group."""
+def with_bucket(df: DataFrame, order: str, by=(), bits: int = 8, cuts_from: DataFrame | None = None) -> DataFrame:
+    """+_bucket in [0, 2**bits), non-decreasing in ``order`` (numeric) within each group.
+
+    ``cuts_from`` is a cheaper table with the same ordering column to take the quantiles from.
+    """
     n = 2**bits
     cuts = F.percentile_approx(F.col(order).cast("double"), [i / n for i in range(1, n)], 100 * n)
     if by:
@@ -51,7 +54,7 @@ def with_bucket(df: DataFrame, order: str, by=(), bits: int = 6) -> DataFrame:
             cond = cond & df[k].eqNullSafe(limits[f"_g_{k}"])
         cut = df.join(limits, cond, "left").drop(*[f"_g_{k}" for k in by])
     else:
-        cut = df.withColumn("_cuts", df.agg(cuts).scalar())
+        cut = df.withColumn("_cuts", (df if cuts_from is None else cuts_from).agg(cuts).scalar())
     steps = F.array(*[F.lit(2**i) for i in reversed(range(bits))])
     value = F.col(order).cast("double")
     place = F.aggregate(
@@ -62,7 +65,7 @@ def with_bucket(df: DataFrame, order: str, by=(), bits: int = 6) -> DataFrame:
     return cut.withColumn("_bucket", F.coalesce(place, F.lit(0))).drop("_cuts")
 
 
-def running_total(df: DataFrame, order: str, cols, by=(), bits: int = 6) -> DataFrame:
+def running_total(df: DataFrame, order: str, cols, by=(), bits: int = 8) -> DataFrame:
     """+cum_<col>, +all_<col>: running sum in ascending ``order`` (unique per group) and group total."""
     by, cols = list(by), list(cols)
     parts = with_bucket(df, order, by, bits)
@@ -91,6 +94,18 @@ def running_total(df: DataFrame, order: str, cols, by=(), bits: int = 6) -> Data
     )
 
 
+def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", bits: int = 8) -> DataFrame:
+    """+rank from 1 by descending score, then ``tie``: ranks inside buckets plus bucket offsets."""
+    parts = with_bucket(df.withColumn("_down", -F.col(score).cast("double")), "_down", bits=bits)
+    before = Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("_bucket").agg(F.count("*").alias("_n")).select(
+        F.col("_bucket").alias("_cb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+    )
+    here = Window.partitionBy("_bucket").orderBy("_down", tie)
+    out = parts.join(offsets, F.col("_bucket") == F.col("_cb"))
+    return out.select(*df.columns, (F.row_number().over(here) + F.col("_off")).alias(name))
+
+
 def exact_median(df: DataFrame, cols) -> DataFrame:
     """(col, median) of each column, NULLs ignored, middle values averaged.
 

@@ -523,7 +523,19 @@ def h9(spark, sf):
     return heads.score(parts.filter("split = 'test'")).select("stock_code", "trade_date", "probability", "predicted_return")
 
 
-@query("h10_training_matrix")
+cte(
+    "h10_scope",
+    "SELECT * FROM panel_model SEMI JOIN (SELECT stock_code FROM panel_model GROUP BY 1 ORDER BY count(*) DESC, stock_code LIMIT 50) USING (stock_code)",
+)
+
+
+@query(
+    "h10_training_matrix",
+    """SELECT stock_code, trade_date, label_up_5d, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM h10_scope
+    SEMI JOIN (SELECT DISTINCT trade_date FROM h10_scope ORDER BY trade_date DESC LIMIT 400) USING (trade_date)
+    LEFT JOIN (SELECT stock_code, trade_date, count(*) AS n FROM fx_aligned GROUP BY 1, 2) USING (stock_code, trade_date)""",
+    d="norm", i="label_up_5d", t="trade_date",
+)
 def h10(spark, sf):
     from tickerloom.operators import ml
 
