@@ -10,7 +10,8 @@ from tickerloom.operators.ewm import ewm, macd
 from tickerloom.operators.metrics import topk_metrics
 from tickerloom.plans import fixtures as fx
 from tickerloom.plans.registry import cte, query
-from tickerloom.sources import market as src
+from tickerloom.operators.ordered import scratch_path
+from tickerloom.sources import datasets, market as src
 
 W = "PARTITION BY stock_code ORDER BY trade_date"
 cte(
@@ -198,6 +199,14 @@ def a5(spark, sf):
     return src.coverage_gate(fx.market(spark, sf), F.lit("2001-11-02").cast("date"), 240).select("stock_code", "trade_date", "close")
 
 
+@query("a1_a2_dataset_roundtrip", f"SELECT {KEY}, close, volume FROM fx_market", d="close volume", t="trade_date")
+def a1(spark, sf):
+    """Bars written as a named dataset and read back."""
+    base = scratch_path(spark, "datasets")
+    datasets.write_dataset(fx.market(spark, sf), base, "market_daily")
+    return datasets.read_dataset(spark, base, "market_daily").select("stock_code", "trade_date", "close", "volume")
+
+
 @query(
     "a6_has_recent_data",
     "SELECT stock_code, max(trade_date) AS last_date, date_diff('day', max(trade_date), DATE '2001-11-02') <= 1 AS recent FROM fx_market GROUP BY 1",
