@@ -105,12 +105,17 @@ def news_impact(news: DataFrame, weights: DataFrame, as_of: Column, events=defau
     )
 
 
+def _units(score: Column) -> Column:
+    """Scores have four places; summed as whole units the total does not depend on row order."""
+    return F.round(score * 10000).cast("long")
+
+
 def batch_impact_summary(impact: DataFrame) -> DataFrame:
     """Totals and overall label per stock."""
     s = F.col("impact_score")
     out = impact.groupBy("stock_code").agg(
         F.count("*").alias("total_news"),
-        F.sum(s).alias("_t"),
+        (F.sum(_units(s)).cast("double") / 10000.0).alias("_t"),
         F.count_if(s > 0.1).alias("positive_count"),
         F.count_if(s < -0.1).alias("negative_count"),
     )
@@ -169,7 +174,7 @@ def impact_trend(impact: DataFrame, delta: float = 0.2) -> DataFrame:
     from tickerloom.operators.ordered import running_total
 
     seconds = impact.groupBy("stock_code", F.unix_micros("publish_time").alias("_ts"), "news_id").agg(
-        F.sum("impact_score").alias("_v"), F.count("*").alias("_n")
+        F.sum(_units(F.col("impact_score"))).alias("_v"), F.count("*").alias("_n")
     )
     per_time = seconds.groupBy("stock_code", "_ts").agg(F.sum("_n").alias("_n"))
     ranks = running_total(per_time, "_ts", ["_n"], by=["stock_code"]).select(
@@ -187,13 +192,16 @@ def impact_trend(impact: DataFrame, delta: float = 0.2) -> DataFrame:
     recent = F.col("_place") > F.col("_all") - F.floor(F.col("_all") / 2)
     sums = placed.groupBy("stock_code").agg(
         F.max("_all").alias("_all"),
-        F.sum(F.when(recent, F.col("_v")).otherwise(0.0)).alias("recent_impact"),
-        F.sum(F.when(~recent, F.col("_v")).otherwise(0.0)).alias("older_impact"),
+        F.sum(F.when(recent, F.col("_v")).otherwise(0)).alias("_new"),
+        F.sum(F.when(~recent, F.col("_v")).otherwise(0)).alias("_old"),
     )
-    gap = F.col("recent_impact") - F.col("older_impact")
-    trend = F.when(F.col("_all") < 2, "stable").when(gap > delta, "improving").when(gap < -delta, "deteriorating")
-    return sums.select("stock_code", trend.alias("_t"), "recent_impact", "older_impact").select(
-        "stock_code", F.coalesce("_t", F.lit("stable")).alias("trend"), "recent_impact", "older_impact"
+    gap, limit = F.col("_new") - F.col("_old"), round(delta * 10000)
+    trend = F.when(F.col("_all") < 2, "stable").when(gap > limit, "improving").when(gap < -limit, "deteriorating").otherwise("stable")
+    return sums.select(
+        "stock_code",
+        trend.alias("trend"),
+        (F.col("_new") / 10000.0).alias("recent_impact"),
+        (F.col("_old") / 10000.0).alias("older_impact"),
     )
 
 

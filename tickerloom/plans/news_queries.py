@@ -257,7 +257,7 @@ def d9(spark, sf):
 
 cte(
     "im_sum",
-    """SELECT stock_code, count(*) AS total_news, sum(impact_score) AS t, count(*) FILTER (WHERE impact_score > 0.1) AS positive_count,
+    """SELECT stock_code, count(*) AS total_news, CAST(sum(CAST(round(impact_score * 10000) AS BIGINT)) AS DOUBLE) / 10000.0::DOUBLE AS t, count(*) FILTER (WHERE impact_score > 0.1) AS positive_count,
     count(*) FILTER (WHERE impact_score < -0.1) AS negative_count FROM im GROUP BY 1""",
 )
 SUMMARY = f"""stock_code, total_news, {fx.half_up('t', 4)} AS total_impact, CASE WHEN t > 0.2 THEN 'positive' WHEN t < -0.2 THEN 'negative' ELSE 'neutral' END AS overall_sentiment,
@@ -290,13 +290,13 @@ def d10_first(spark, sf):
 
 cte(
     "im_trend",
-    """SELECT stock_code, sum(impact_score) FILTER (WHERE r <= n // 2) AS recent, sum(impact_score) FILTER (WHERE r > n // 2) AS older, max(n) AS n FROM (
-    SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY publish_time DESC, news_id) AS r, count(*) OVER (PARTITION BY stock_code) AS n FROM im) GROUP BY 1""",
+    """SELECT stock_code, coalesce(sum(u) FILTER (WHERE r <= n // 2), 0) AS recent, coalesce(sum(u) FILTER (WHERE r > n // 2), 0) AS older, max(n) AS n FROM (
+    SELECT *, CAST(round(impact_score * 10000) AS BIGINT) AS u, row_number() OVER (PARTITION BY stock_code ORDER BY publish_time DESC, news_id) AS r, count(*) OVER (PARTITION BY stock_code) AS n FROM im) GROUP BY 1""",
 )
-TREND = "CASE WHEN n < 2 THEN 'stable' WHEN recent > older + 0.2 THEN 'improving' WHEN recent < older - 0.2 THEN 'deteriorating' ELSE 'stable' END"
+TREND = "CASE WHEN n < 2 THEN 'stable' WHEN recent > older + 2000 THEN 'improving' WHEN recent < older - 2000 THEN 'deteriorating' ELSE 'stable' END"
 
 
-@query("d12_impact_trend", f"SELECT stock_code, {TREND} AS trend, coalesce(recent, 0.0::DOUBLE) AS recent_impact, coalesce(older, 0.0::DOUBLE) AS older_impact FROM im_trend", d="recent_impact older_impact")
+@query("d12_impact_trend", f"SELECT stock_code, {TREND} AS trend, CAST(recent AS DOUBLE) / 10000 AS recent_impact, CAST(older AS DOUBLE) / 10000 AS older_impact FROM im_trend", d="recent_impact older_impact")
 def d12(spark, sf):
     return impact.impact_trend(impacts(spark, sf))
 
