@@ -57,9 +57,6 @@ def _sector_sql(terms):
     return "CASE " + " ".join(f"WHEN contains(body, '{t}') THEN CASE WHEN contains(substr(body, 1, 100), '{t}') THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END" for t in terms) + " END"
 
 
-TITLE, BODY = F.col("title"), F.col("body")
-
-
 def texts(spark, sf):
     return fx.docs(spark, sf).withColumn("body", tx.merged_text(F.col("title"), F.col("content")))
 
@@ -72,9 +69,9 @@ def texts(spark, sf):
 def sentiment(spark, sf):
     """Keyword (with B35 context), phrase and hybrid sentiment of whole documents."""
     d = texts(spark, sf).withColumn("m", F.trim(F.concat("title", F.lit(" "), "body")))
-    kw = tx.keyword_sentiment(F.col("m"), TITLE, fx.POSITIVE, fx.NEGATIVE, fx.NEGATION, fx.INTENSIFY)
-    sem = tx.semantic_sentiment(F.col("m"), TITLE, fx.POSITIVE_PATTERNS, fx.NEGATIVE_PATTERNS, fx.UNCERTAIN)
-    return d.select("arrival", kw.alias("keyword"), sem.alias("semantic"), tx.hybrid_sentiment(BODY, TITLE, **LEXICON).alias("hybrid"))
+    kw = tx.keyword_sentiment(F.col("m"), F.col("title"), fx.POSITIVE, fx.NEGATIVE, fx.NEGATION, fx.INTENSIFY)
+    sem = tx.semantic_sentiment(F.col("m"), F.col("title"), fx.POSITIVE_PATTERNS, fx.NEGATIVE_PATTERNS, fx.UNCERTAIN)
+    return d.select("arrival", kw.alias("keyword"), sem.alias("semantic"), tx.hybrid_sentiment(F.col("body"), F.col("title"), **LEXICON).alias("hybrid"))
 
 
 @query("b35_context_modifier", "SELECT arrival, CASE WHEN contains(c, 'of') THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN contains(c, 'in') THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS modifier FROM (SELECT arrival, right(content, 8) AS c FROM fx_docs)", d="modifier", i="arrival")
@@ -92,15 +89,15 @@ def b35(spark, sf):
 def text_rules(spark, sf):
     """B33 categories, B38 importance, B39 sectors, B11 contains, B41 quality."""
     d = texts(spark, sf)
-    imp = tx.importance(TITLE, F.col("content"), fx.TITLE_TERMS)
-    sectors = tx.affected_sectors(BODY, fx.SECTOR_TERMS)
+    imp = tx.importance(F.col("title"), F.col("content"), fx.TITLE_TERMS)
+    sectors = tx.affected_sectors(F.col("body"), fx.SECTOR_TERMS)
     d = d.withColumns({"importance": imp, "s": sectors})
     return d.select(
         "arrival",
-        F.array_join(tx.classify_categories(BODY, fx.CATEGORY_TERMS, "other"), ",").alias("categories"),
+        F.array_join(tx.classify_categories(F.col("body"), fx.CATEGORY_TERMS, "other"), ",").alias("categories"),
         "importance",
         *[F.try_element_at("s", F.lit(k)).alias(k) for k in fx.SECTOR_TERMS],
-        tx.contains_any(BODY, ["qz", "zw"]).alias("rare"),
+        tx.contains_any(F.col("body"), ["qz", "zw"]).alias("rare"),
         tx.news_quality_score(F.col("content"), F.col("importance"), F.col("url")).alias("quality"),
     )
 
