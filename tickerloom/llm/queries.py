@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickerloom.llm import jaccard, mixing, pii, piece, toxicity
+from tickerloom.llm import jaccard, lattice, mixing, omh, orc_tokens, pii, piece, toxicity, warc
 from tickerloom.llm.common import bounded_batches, held_out, table
 
 
@@ -13,6 +13,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_omh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("fault")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return pii.detect(table(spark, sf_dir, "documents"))
@@ -39,11 +47,19 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op4_pii, op5_toxicity, op6_piece, op7_mixing, op8_jaccard, pipeline)}
-ORACLES = {"op7_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_omh, op2_warc, op4_pii, op5_toxicity, op6_piece, op7_mixing, op8_jaccard, op9_orc, op10_lattice, pipeline)}
+ORACLES = {"op2_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE}
