@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickerloom.llm import jaccard, lattice, mixing, omh, orc_tokens, pii, piece, toxicity, warc
+from tickerloom.llm import jaccard, lattice, lbl, mixing, omh, orc_tokens, pii, piece, toxicity, warc
 from tickerloom.llm.common import bounded_batches, held_out, table
 
 
@@ -21,6 +21,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("fault")
 
 
+def op3_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return pii.detect(table(spark, sf_dir, "documents"))
@@ -61,5 +65,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_omh, op2_warc, op4_pii, op5_toxicity, op6_piece, op7_mixing, op8_jaccard, op9_orc, op10_lattice, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_omh, op2_warc, op3_lbl, op4_pii, op5_toxicity, op6_piece, op7_mixing, op8_jaccard, op9_orc, op10_lattice, pipeline)}
 ORACLES = {"op2_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE}
