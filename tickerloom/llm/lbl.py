@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from tickerloom.llm.common import bounded_batches, held_out, stored, words
 
 TOP, CLASSES, DIM = 896, 126, 16
-BATCH, NOISE = 8192, 32
+BATCH, NOISE = 4096, 32
 BLOCK_CHARS = 8_000_000
 GROUPS = 16
 
@@ -75,7 +75,7 @@ def start(units: Units, unigram: np.ndarray) -> dict[str, np.ndarray]:
 class Trainer:
     """Adagrad steps of noise-contrastive estimation with noise shared by a minibatch."""
 
-    def __init__(self, p: dict, unigram: np.ndarray, rate: float = 0.15):
+    def __init__(self, p: dict, unigram: np.ndarray, rate: float = 0.2):
         self.p = {k: v.copy() for k, v in p.items()}
         self.sq = {k: np.full(v.shape, 1e-6, np.float32) for k, v in p.items()}
         self.noise_log = np.log(NOISE * unigram).astype(np.float32)
@@ -90,7 +90,7 @@ class Trainer:
         u = np.concatenate([[0, 0], units])
         self.held.append(np.stack([u[1:-1], u[:-2], u[2:]]))
         self.size += len(units)
-        if self.size >= 32 * BATCH:
+        if self.size >= 64 * BATCH:
             self.flush()
 
     def flush(self) -> None:
