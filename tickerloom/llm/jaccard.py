@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from tickerloom.llm.common import bounded_batches, components, stored, words
 
 WIDTH, PERCENT = 5, 75
-CELL_BITS, BLOCKS = 22, 1024  # counting sketch
-SMALL = 32  # largest meeting that gives pairs
-BLOCK = 1500  # largest block of a bundle
+CELL_BITS, CELL_LOAD, BLOCKS = (20, 27), 8, 1024  # counting sketch: bits of its size, shingles per cell it aims at
+SMALL = 128  # largest meeting that gives pairs
+BLOCK = 2500  # largest block of a bundle
 LEAF, FAN = 32, 8
 
 
@@ -136,38 +136,46 @@ def class_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, c1 long, c2 long, n long, sig binary")
 
 
-def frequent_cells(docs: DataFrame, width: int) -> np.ndarray:
-    """Which of 2**CELL_BITS hash cells hold clearly more shingles than chance: a bitmap of fixed size.
+def cell_bits(total: int) -> int:
+    """Size of the counting sketch for so many shingles, within fixed bounds."""
+    return min(CELL_BITS[1], max(CELL_BITS[0], int(total // CELL_LOAD).bit_length()))
 
-    Every task counts all of its shingles; counts of a block of cells are summed as they stream by.
-    """
-    per = (1 << CELL_BITS) // BLOCKS
 
-    def count(batches):
-        total, held, n = np.zeros(1 << CELL_BITS, np.uint32), [], 0
+def frequent_cells(docs: DataFrame, width: int, bits: int) -> np.ndarray:
+    """Which of 2**bits hash cells hold clearly more shingles than chance: a bitmap of bounded size (16 MB at most).
 
-        def add():
-            if held:
-                total[:] += np.bincount((np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32)
+    Every task counts all of its shingles; the counts of a block of cells are summed as they stream by.
+    """
+    per, shift = (1 << bits) // BLOCKS, np.uint64(64 - bits)
+
+    def packed(held):
+        cell, n = np.unique((np.concatenate(held) >> shift).astype(np.int64), return_counts=True)
+        cut = np.searchsorted(cell, np.arange(BLOCKS + 1) * per)
+        blocks = np.flatnonzero(np.diff(cut))
+        body = [
+            zlib.compress(np.diff(cell[cut[k] : cut[k + 1]], prepend=k * per).astype(np.uint32).tobytes() + n[cut[k] : cut[k + 1]].astype(np.uint32).tobytes(), 1)
+            for k in blocks
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(body, pa.binary())], ["block", "counts"])
 
+    def count(batches):
+        held, n = [], 0
         for rows in distinct_sets(batches, width):
             got = [r[3] for r in rows if r[3] is not None and len(r[3])]
             held += got
             n += sum(map(len, got))
-            if n > 1_000_000:
-                add()
+            if n > 3_000_000:
+                yield packed(held)
                 held, n = [], 0
-        add()
-        if total.any():
-            packed = [zlib.compress(total[i * per : (i + 1) * per].tobytes(), 1) for i in range(BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
+        if held:
+            yield packed(held)
 
     def mark(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for block, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(zlib.decompress(packed), np.uint32)
-                sums[block] = sums[block] + c if block in sums else c.astype(np.int64)
+            for block, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                step, n = np.frombuffer(zlib.decompress(body), np.uint32).reshape(2, -1)
+                sums.setdefault(block, np.zeros(per, np.int32))[np.cumsum(step, dtype=np.int64)] += n.astype(np.int32)
         rows = []
         for block, c in sums.items():
             m = c.mean()
@@ -176,25 +184,33 @@ def frequent_cells(docs: DataFrame, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "hot"])
 
     counted = docs.mapInArrow(count, "block int, counts binary").repartition("block")
-    hot = np.zeros(1 << CELL_BITS, bool)
-    for r in counted.mapInArrow(mark, "block int, hot binary").collect():  # BLOCKS rows at most
-        hot[r["block"] * per : (r["block"] + 1) * per] = np.unpackbits(np.frombuffer(r["hot"], np.uint8)).astype(bool)
+    hot = np.zeros((1 << bits) // 8, np.uint8)
+    for r in counted.mapInArrow(mark, "block int, hot binary").toLocalIterator():  # BLOCKS rows at most
+        hot[r["block"] * per // 8 : (r["block"] + 1) * per // 8] = np.frombuffer(r["hot"], np.uint8)
     return hot
 
 
+def prefix(n: int, percent: int) -> int:
+    """How many leading shingles of n a set shares at least one of with every set that it links with."""
+    return n - -(-percent * n // 100) + 1
+
+
 def prefix_rows(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFrame:
     """(key, c1, n): each class at the shingles of its prefix, once per task."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(hot))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shift = np.uint64(64 - (8 * len(hot) - 1).bit_length())
 
     def run(batches):
-        frequent = np.unpackbits(shared.value).astype(bool)
+        frequent = shared.value
         for rows in distinct_sets(batches, width):
             keys, cls, size = [], [], []
             for _, c, _, h in rows:
                 if h is None or not len(h):
                     continue
-                p = len(h) - -(-percent * len(h) // 100) + 1
-                order = np.argsort(frequent[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")[:p]
+                p = prefix(len(h), percent)
+                cell = h >> shift
+                late = frequent[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8)) & 1
+                order = np.argsort(late, kind="stable")[:p]
                 keys.append(h[order])
                 cls.append(np.full(p, c[0], np.int64))
                 size.append(np.full(p, len(h), np.int32))
@@ -205,7 +221,7 @@ def prefix_rows(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> D
 
 
 def meetings(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, star): pairs of classes of fitting sizes, or stars of large meetings. Streams over sorted keys; holds SMALL rows of a key."""
+    """(a, b, na, nb): pairs of classes of fitting sizes, or stars (sizes null) of large meetings. Streams over sorted keys; holds SMALL rows of a key."""
 
     def run(batches):
         key, group, hub = None, [], None
@@ -220,12 +236,12 @@ def meetings(prefixes: DataFrame, percent: int) -> DataFrame:
                     key, group, hub = kk, [], None
                 if hub is not None:
                     if cc != last:
-                        out.append((hub, cc, True))
+                        out.append((hub, cc, None, None))
                 elif not group or group[-1][0] != cc:
                     group.append((cc, nn))
                     if len(group) > SMALL:
                         hub = group[0][0]
-                        out += [(hub, g[0], True) for g in group[1:]]
+                        out += [(hub, g[0], None, None) for g in group[1:]]
                         group = []
                 last = cc
             if out:
@@ -240,27 +256,34 @@ def meetings(prefixes: DataFrame, percent: int) -> DataFrame:
             for b, m in group[i + 1 :]:
                 if percent * m > 100 * n:
                     break
-                out.append((min(a, b), max(a, b), False))
+                out.append((a, b, n, m) if a < b else (b, a, m, n))
         return out
 
     def rows_of(out):
-        a, b, s = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.bool_())], ["a", "b", "star"])
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["a", "b", "na", "nb"])
 
-    return prefixes.repartition("key").sortWithinPartitions("key", "c1").mapInArrow(run, "a long, b long, star boolean")
+    return prefixes.repartition("key").sortWithinPartitions("key", "c1").mapInArrow(run, "a long, b long, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
 
 
 def bundle_edges(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of stars and of the pairs whose bitmaps leave enough possible overlap."""
+    """(a, b) of stars, and of the pairs for which neither the number of meetings nor the bitmaps rule enough overlap out.
+
+    Behind its prefix the set whose prefix ends first has n - prefix shingles left, so the overlap is at most that
+    plus the meetings. Meetings in stars are not counted, but a star has both of them in its bundle anyway.
+    """
 
     def run(batches):
         for b in batches:
             keep = [possible(n1, s1, n2, s2, percent) for n1, s1, n2, s2 in zip(*[b.column(i).to_pylist() for i in range(2, 6)], strict=True)]
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    side = lambda k: classes.select(F.col("c1").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
-    pairs = found.filter(~F.col("star")).select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
-    return pairs.mapInArrow(run, "a long, b long").union(found.filter("star").select("a", "b").distinct())
+    side = lambda k: classes.select(F.col("c1").alias(k), F.col("sig").alias(f"s{k}"))
+    behind = F.greatest(*[F.ceil(F.col(n) * percent / 100) - 1 for n in ("na", "nb")])
+    most = F.least(F.col("met") + behind, "na", "nb")
+    pairs = found.filter(F.col("na").isNotNull() & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
+    return pairs.mapInArrow(run, "a long, b long").union(found.filter(F.col("na").isNull()).select("a", "b"))
 
 
 class Node:
@@ -391,7 +414,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(spark)
     rows = stored(class_rows(docs, width), "jac-rows")
     classes = stored(rows.groupBy("c1").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig")), "jac-classes")
-    hot = frequent_cells(docs, width)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    hot = frequent_cells(docs, width, cell_bits(total))
     prefixes = prefix_rows(docs, hot, width, percent)
     found = stored(meetings(prefixes, percent), "jac-meetings")
     bundles = components(bundle_edges(found, classes, percent), "jac-bundle").select(F.col("node").alias("c1"), F.col("label").alias("bundle"))
