@@ -7,7 +7,8 @@ metadata. A row also holds how many ids its file has before it, so a document's
 the sizes of the files before its own: one number per file.
 
 Equal words have equal ids: a worker remembers words between blanks within a bound and gives only new ones to
-the tokenizer. That is exact for tokenizers whose pieces never span a blank (``chunks`` is false otherwise).
+the tokenizer. That is exact for tokenizers that lower the case and whose pieces span neither a blank nor the
+place between a letter or digit and a mark (with ``chunks`` false every text goes to the tokenizer whole).
 
 Defined cases: a null or empty text has the end id only; rows of equal ids stand together, ordered by text;
 rows without an id come first; an empty table gives an empty table; extra columns are not written.
@@ -21,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tickerloom.llm.common import bounded_batches, shared_path
+from tickerloom.llm.common import bounded_batches, shared_path, stored
 
 REMEMBERED = 500_000
 STRIDE, FPP = 1000, 0.01
+MARK = "\ue000"
 
 _blank = re.compile(r"[^ \n\t\r]+").findall
 
@@ -45,6 +47,35 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word_ids(self, part: list[str]) -> list[bytes]:
+        """Ids of words, many to a call: a mark that no word holds stands between them, and its ids show where words end."""
+        if any(MARK in w for w in part):
+            return self.ids(part)
+        mark = np.frombuffer(self.ids([MARK])[0], "<i4")
+        flat = np.frombuffer(self.ids([f" {MARK} ".join(part)])[0], "<i4")
+        hit = np.ones(len(flat) - len(mark) + 1 if len(flat) >= len(mark) else 0, bool)
+        for k, x in enumerate(mark):
+            hit &= flat[k : k + len(hit)] == x
+        ends = np.flatnonzero(hit)
+        if len(ends) != len(part) - 1:
+            return self.ids(part)
+        raw, k = flat.tobytes(), 4 * len(mark)
+        starts = [0, *(4 * ends + k).tolist()]
+        return [raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)]
+
+    def learn(self, new: list[str]) -> None:
+        """A word of letters or digits and one closing mark is the word and the mark; plain capitals are their small letters."""
+        known, stems, tails = self.known, [], []
+        for w in new:
+            stem, tail = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[:-1].isalnum() and w[-2] != "\u0130" else (w, "")
+            stems.append(stem.lower() if stem.isascii() else stem)
+            tails.append(tail)
+        ask = [w for w in dict.fromkeys([*stems, *tails]) if w and w not in known]
+        for i in range(0, len(ask), 1000):
+            known.update(zip(ask[i : i + 1000], self.word_ids(ask[i : i + 1000]), strict=True))
+        for w, stem, tail in zip(new, stems, tails, strict=True):
+            known[w] = known[stem] + known[tail] if tail else known[stem]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.chunks:
             return [b + self.end for b in self.ids([t or "" for t in texts])]
@@ -52,9 +83,8 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
-        new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in known]
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i : i + 20_000], self.ids(new[i : i + 20_000]), strict=True))
+        if new := [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in known]:
+            self.learn(new)
         return [b"".join(map(known.__getitem__, c)) + self.end for c in cut]
 
 
@@ -99,17 +129,13 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
     )
 
 
-def read_tokens(spark: SparkSession, out: str) -> DataFrame:
-    """(doc_id, start, ids): filters on doc_id reach the stripes."""
-    rows = spark.read.orc(out).select("doc_id", "before", "ids", F.col("_metadata.file_name").alias("file"))
-    size = rows.groupBy("file").agg(F.max(F.col("before") + F.size("ids")).alias("n"))
-    earlier = Window.partitionBy().orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    base = size.select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return rows.join(base, F.col("file") == F.col("_file")).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "ids")
+def read_rows(spark: SparkSession, out: str) -> DataFrame:
+    """(doc_id, before, ids, file): filters on doc_id reach the stripes."""
+    return spark.read.orc(out).select("doc_id", "before", "ids", F.col("_metadata.file_name").alias("file"))
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the ids read."""
+    """(doc_id, start, n_tokens, ids_crc32) from the ids read. The ids stay in their task; only numbers meet the files' sums."""
 
     def run(batches):
         for b in batches:
@@ -117,15 +143,19 @@ def token_digest(tokens: DataFrame) -> DataFrame:
             flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
             crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
+                [b.column(0), b.column(1), b.column(3), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "before", "file", "n_tokens", "ids_crc32"]
             )
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "start", "ids").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    rows = stored(tokens.mapInArrow(run, f"doc_id {kind}, before long, file string, n_tokens long, ids_crc32 long"), "orc-digest")
+    size = rows.groupBy("file").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n"))
+    earlier = Window.partitionBy().orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    base = size.select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    return rows.join(base, F.col("file") == F.col("_file")).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write, read back, and digest what was read."""
     out = shared_path(docs.sparkSession, "tokens-orc")
     write_tokens(docs, out, path, end_id, id_col, text_col)
-    return token_digest(read_tokens(docs.sparkSession, out)).withColumnRenamed("doc_id", id_col)
+    return token_digest(read_rows(docs.sparkSession, out)).withColumnRenamed("doc_id", id_col)
