@@ -14,9 +14,7 @@ Defined cases: a null or empty text has the end id only; rows of equal ids stand
 rows without an id come first; an empty table gives an empty table; extra columns are not written.
 """
 
-import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tickerloom.llm.common import bounded_batches, shared_path, stored
 
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 STRIDE, FPP = 1000, 0.01
-MARK = "\ue000"
+DOTTED_I = "\u0130"  # the one letter whose small form ends in a mark
 
-_blank = re.compile(r"[^ \n\t\r]+").findall
 
 
 class Encoder:
@@ -42,32 +39,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end, self.chunks, self.known = np.int32(end_id).tobytes(), chunks, {}
+        self.end, self.chunks, self.known = np.int32(end_id).tobytes(), chunks, {"": b""}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def word_ids(self, part: list[str]) -> list[bytes]:
-        """Ids of words, many to a call: a mark that no word holds stands between them, and its ids show where words end."""
-        if any(MARK in w for w in part):
-            return self.ids(part)
-        mark = np.frombuffer(self.ids([MARK])[0], "<i4")
-        flat = np.frombuffer(self.ids([f" {MARK} ".join(part)])[0], "<i4")
-        hit = np.ones(len(flat) - len(mark) + 1 if len(flat) >= len(mark) else 0, bool)
-        for k, x in enumerate(mark):
-            hit &= flat[k : k + len(hit)] == x
-        ends = np.flatnonzero(hit)
-        if len(ends) != len(part) - 1:
-            return self.ids(part)
-        raw, k = flat.tobytes(), 4 * len(mark)
-        starts = [0, *(4 * ends + k).tolist()]
-        return [raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)]
+        """Ids of words, many to a call. A word of letters is one unit of the tokenizer and ends with the only id
+        of its own that has the end-of-word suffix; other words go in one by one."""
+        plain = [w for w in part if w.isalpha() and DOTTED_I not in w]
+        got = {}
+        if self.ends is not None and len(plain) > 1:
+            flat = np.frombuffer(self.ids([" ".join(plain)])[0], "<i4")
+            ends = np.flatnonzero(self.ends[flat]) + 1
+            if len(ends) == len(plain):
+                raw, stops = flat.tobytes(), (4 * ends).tolist()
+                got = {w: raw[a:b] for w, a, b in zip(plain, [0, *stops[:-1]], stops, strict=True)}
+        rest = [w for w in part if w not in got]
+        got.update(zip(rest, self.ids(rest), strict=True))
+        return [got[w] for w in part]
 
     def learn(self, new: list[str]) -> None:
         """A word of letters or digits and one closing mark is the word and the mark; plain capitals are their small letters."""
         known, stems, tails = self.known, [], []
         for w in new:
-            stem, tail = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[:-1].isalnum() and w[-2] != "\u0130" else (w, "")
+            stem, tail = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[:-1].isalnum() and w[-2] != DOTTED_I else (w, "")
             stems.append(stem.lower() if stem.isascii() else stem)
             tails.append(tail)
         ask = [w for w in dict.fromkeys([*stems, *tails]) if w and w not in known]
@@ -79,11 +80,11 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.chunks:
             return [b + self.end for b in self.ids([t or "" for t in texts])]
-        cut = [_blank(t) if t else [] for t in texts]
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known = {"": b""}
         known = self.known
-        if new := [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in known]:
+        if new := list(set().union(*cut).difference(known)):
             self.learn(new)
         return [b"".join(map(known.__getitem__, c)) + self.end for c in cut]
 
