@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BATCH_ROWS, BATCH_BYTES = 5000, "8m"
+BATCH_ROWS, BATCH_BYTES = 5000, "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

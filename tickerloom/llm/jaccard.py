@@ -52,7 +52,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingles(toks: list[bytes], known: WordHash, width: int = WIDTH) -> np.ndarray:
     """Distinct hashes of ``width`` words in a row, sorted."""
-    if len(known) > 400_000:
+    if len(known) > 200_000:
         known.clear()
     k, step = min(width, len(toks)), np.uint64(0x9E3779B97F4A7C15)
     if not k:
@@ -103,18 +103,16 @@ def possible(n1: int, s1: bytes, n2: int, s2: bytes, percent: int = PERCENT) ->
 
 
 def distinct_sets(batches, width: int):
-    """(id, content hash, shingles, first) per row of (id, text) batches; later copies within a task get no set."""
+    """(id, content hash, shingles) per row of (id, text) batches; later copies within a task get no set."""
     known, seen = WordHash(), set()
     for batch in batches:
         out = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             toks = words(text)
             c = content(toks)
-            first = c not in seen
-            if first:
-                seen.add(c)
-            out.append((key, c, toks, first))
-        yield [(key, c, toks, shingles(toks, known, width) if first else None) for key, c, toks, first in out]
+            out.append((key, c, None if c in seen else shingles(toks, known, width)))
+            seen.add(c)
+        yield out
 
 
 def class_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -127,8 +125,8 @@ def class_rows(docs: DataFrame, width: int) -> DataFrame:
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1][0] for r in rows], pa.int64()),
                     pa.array([r[1][1] for r in rows], pa.int64()),
-                    pa.array([None if r[3] is None else len(r[3]) for r in rows], pa.int64()),
-                    pa.array([None if r[3] is None else bitmap(r[3]) for r in rows], pa.binary()),
+                    pa.array([None if r[2] is None else len(r[2]) for r in rows], pa.int64()),
+                    pa.array([None if r[2] is None else bitmap(r[2]) for r in rows], pa.binary()),
                 ],
                 ["id", "c1", "c2", "n", "sig"],
             )
@@ -161,10 +159,10 @@ def frequent_cells(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     def count(batches):
         held, n = [], 0
         for rows in distinct_sets(batches, width):
-            got = [r[3] for r in rows if r[3] is not None and len(r[3])]
+            got = [r[2] for r in rows if r[2] is not None and len(r[2])]
             held += got
             n += sum(map(len, got))
-            if n > 3_000_000:
+            if n > 1_500_000:
                 yield packed(held)
                 held, n = [], 0
         if held:
@@ -204,7 +202,7 @@ def prefix_rows(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> D
         frequent = shared.value
         for rows in distinct_sets(batches, width):
             keys, cls, size = [], [], []
-            for _, c, _, h in rows:
+            for _, c, h in rows:
                 if h is None or not len(h):
                     continue
                 p = prefix(len(h), percent)

@@ -83,7 +83,7 @@ class PieceTable:
         if fit is None:
             a, b = self.pieces[left], self.pieces[right]
             fit = self.fits[key] = self.merge(a + b) == [a, b]
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 700_000:
                 self.fits = {}
         return fit
 

@@ -30,7 +30,7 @@ from tickerloom.llm.common import held_out, map_rows
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 4096, 16384, 12, 12
 FIT_DOCS = 800
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 CHUNK = 1024  # windows in memory at once
 
 _token = re.compile(r"[^\W_]+").findall
