@@ -67,11 +67,11 @@ def bucket_30m(ts: Column) -> Column:
 
 
 def clamp_age_hours(max_age_hours) -> int | None:
-    """None or <= 0 means no cutoff; at most 90 days."""
+    """Whole hours of a cutoff; None or <= 0 means none."""
     if max_age_hours is None:
         return None
     hours = int(float(max_age_hours))
-    return None if hours <= 0 else min(hours, 24 * 90)
+    return None if hours <= 0 else hours
 
 
 def freshness_filter(df: DataFrame, as_of: Column, max_age_hours=72, ts: str = "publish_time") -> DataFrame:

@@ -49,7 +49,7 @@ def neighbour_trade_date(df: DataFrame, calendar: DataFrame, direction: str = "n
     return dated.join(steps.withColumnRenamed("trade_date", "neighbour"), ["stock_code", "_day"], "left").drop("_day")
 
 
-def sample_news_window(samples: DataFrame, calendar: DataFrame, news: DataFrame, limit: int | None = 20, hour: int = 15, minute: int = 0) -> DataFrame:
+def sample_news_window(samples: DataFrame, calendar: DataFrame, news: DataFrame, limit: int | None = None, hour: int = 15, minute: int = 0) -> DataFrame:
     """News in (previous close, close] of each sample day, newest first.
 
     On a calendar day that interval is exactly what alignment assigns to the day, so the interval

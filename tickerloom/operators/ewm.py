@@ -2,67 +2,56 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-CHUNK = 256
-
-
-def _enter(name: str, first: Column) -> Column:
-    """Mean at the start of a chunk, folded over the ends of the chunks before it."""
-    return F.aggregate("_ends", first, lambda y, e: e[f"a_{name}"] * y + e[f"s_{name}"])
+REACH = 200.0  # log weight that a segment spans; beyond two segments a value weighs less than exp(-200)
 
 
 def ewm(df: DataFrame, spans: dict, key: str = "stock_code", order: str = "trade_date") -> DataFrame:
     """Add adjust=False exponential means; ``spans`` is {column: [(output, span), ...]}.
 
-    The recursion y = a*y' + b*x is linear, so inside a chunk of rows it is a running sum of
-    b*x scaled by the running product of a. The state that enters a chunk is folded from the
-    ends of the chunks before it. A NULL keeps the last mean and, as time passes, weakens it:
-    after a gap of g rows a = r^g / (r^g + alpha). All windows share one partitioning and sort.
+    The recursion y = a*y' + b*x is linear. Rows are cut into segments over which the product of a falls
+    by exp(-REACH); inside a segment y is a running sum of b*x scaled by the running product of a, which
+    neither overflows nor vanishes there. What enters a segment is the end of the one before it; what lies further back
+    has no weight left. A NULL keeps the last mean and, as time passes, weakens it: after a gap of g rows
+    a = r^g / (r^g + alpha). No list is built and nothing is copied from row to row.
     """
     w = Window.partitionBy(key).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    sparse = {c for c in spans if df.schema[c].nullable}
-    marks = {"_pos": F.row_number().over(w), **{f"_x0_{c}": F.first(c, ignorenulls=True).over(upto) for c in spans}}
-    out = df.withColumns(marks).withColumn("_chunk", F.floor((F.col("_pos") - 1) / CHUNK))
+    out = df.withColumns({"_pos": F.row_number().over(w), **{f"_x0_{c}": F.first(c, ignorenulls=True).over(upto) for c in spans}})
     gaps = {}
-    for c in sparse:
+    for c in spans:
         valid = F.when(F.col(c).isNotNull(), F.col("_pos"))
         gaps[f"_gap_{c}"] = F.col("_pos") - F.coalesce(F.last(valid, ignorenulls=True).over(before), F.col("_pos") - 1)
     out = out.withColumns(gaps)
     jobs = [(c, name, float(span)) for c, outs in spans.items() for name, span in outs]
     gain = {}
-    for c, name, span in jobs:
+    for c, n, span in jobs:
         if span <= 1:
             raise ValueError("a span must be above 1")
         alpha = 2.0 / (span + 1.0)
-        keep = math.log(1.0 - alpha)
-        if c in sparse:
-            past, seen = F.exp(F.col(f"_gap_{c}") * keep), F.col(c).isNotNull()
-            gain[f"_la_{name}"] = F.when(seen, F.log(past / (past + alpha))).otherwise(0.0)
-            gain[f"_bx_{name}"] = F.when(seen, alpha / (past + alpha) * F.col(c)).otherwise(0.0)
-        else:
-            gain[f"_p_{name}"] = (F.col("_pos") - F.col("_chunk") * CHUNK) * keep
-            gain[f"_bx_{name}"] = alpha * F.col(c)
+        log_past = F.col(f"_gap_{c}") * math.log(1.0 - alpha)
+        total, seen = F.exp(log_past) + alpha, F.col(c).isNotNull()
+        gain[f"_la_{n}"] = F.when(seen, log_past - F.log(total)).otherwise(0.0)
+        gain[f"_bx_{n}"] = F.when(seen, alpha / total * F.col(c)).otherwise(0.0)
     out = out.withColumns(gain)
-    # both window kinds below need the rows sorted by key, chunk and order only
-    running = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(key).orderBy("_chunk", order).rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumns({f"_p_{n}": F.sum(f"_la_{n}").over(running) for c, n, _ in jobs if c in sparse})
-    out = out.withColumns(
-        {
-            f"_s_{n}": F.exp(f"_p_{n}") * F.sum(F.col(f"_bx_{n}") * F.exp(-F.col(f"_p_{n}"))).over(running)
-            for _, n, _ in jobs
-        }
-    )
-    last_of_chunk = F.col("_pos") % CHUNK == 0
-    state = [x for _, n, _ in jobs for x in (F.exp(f"_p_{n}").alias(f"a_{n}"), F.col(f"_s_{n}").alias(f"s_{n}"))]
-    out = out.withColumn("_ends", F.collect_list(F.when(last_of_chunk, F.struct(*state))).over(before))
-    result = {}
+    out = out.withColumns({f"_cut_{n}": F.floor(-F.sum(f"_la_{n}").over(upto) / REACH) for _, n, _ in jobs})
+    for _, n, _ in jobs:
+        here = Window.partitionBy(key, f"_cut_{n}").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # the first row's own factor can be as small as it likes, so it stays out of the scaled sum
+        out = out.withColumn(f"_lf_{n}", F.first(f"_la_{n}").over(here)).withColumn(f"_p_{n}", F.sum(f"_la_{n}").over(here) - F.col(f"_lf_{n}"))
+        out = out.withColumn(f"_s_{n}", F.exp(f"_p_{n}") * F.sum(F.col(f"_bx_{n}") * F.exp(-F.col(f"_p_{n}"))).over(here))
+        out = out.withColumn(f"_a_{n}", F.exp(F.col(f"_lf_{n}") + F.col(f"_p_{n}")))
+    ends = {}
     for c, n, _ in jobs:
-        result[n] = F.exp(f"_p_{n}") * _enter(n, F.col(f"_x0_{c}")) + F.col(f"_s_{n}")
-    return out.withColumns(result).select(*df.columns, *[n for _, n, _ in jobs])
+        end = F.col(f"_s_{n}") + F.col(f"_a_{n}") * F.col(f"_x0_{c}")
+        ends[f"_in_{n}"] = F.when(F.lag(f"_cut_{n}").over(w) != F.col(f"_cut_{n}"), F.lag(end).over(w))
+    out = out.withColumns(ends)
+    # the end of the segment before stands at the first row of each segment
+    entered = {f"_en_{n}": F.last(f"_in_{n}", ignorenulls=True).over(upto) for _, n, _ in jobs}
+    result = {n: F.col(f"_s_{n}") + F.col(f"_a_{n}") * F.coalesce(f"_en_{n}", f"_x0_{c}") for c, n, _ in jobs}
+    return out.withColumns(entered).withColumns(result).withColumns({n: F.when(F.col(f"_x0_{c}").isNotNull(), F.col(n)) for c, n, _ in jobs}).select(*df.columns, *[n for _, n, _ in jobs])
 
 
 def macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, key="stock_code", order="trade_date") -> DataFrame:

@@ -193,7 +193,7 @@ def concept_stocks(edges: DataFrame, stock_dim: DataFrame, concept: str) -> Data
     )
 
 
-def sector_members(company: DataFrame, sector: str, limit: int | None = 20) -> DataFrame:
+def sector_members(company: DataFrame, sector: str, limit: int | None = None) -> DataFrame:
     """Companies whose sector or industry is the given one."""
     hit = company.filter((F.col("sector") == sector) | (F.col("industry") == sector)).orderBy("stock_code")
     return hit if limit is None else hit.limit(limit)

@@ -9,7 +9,7 @@ from tickerloom.operators.dedupe import multi_key_dedupe
 from tickerloom.operators.matching import match_news_to_stocks
 
 
-def parse_news_rows(raw: DataFrame, category_terms=None, sector_terms=None, title_terms=None, content_chars: int | None = 1000, **lexicon) -> DataFrame:
+def parse_news_rows(raw: DataFrame, category_terms=None, sector_terms=None, title_terms=None, content_chars: int | None = None, **lexicon) -> DataFrame:
     """Raw (title, content, publish_time, source, url) -> scored news records.
 
     Titles and times are required. Scores read the whole text; ``content_chars`` only cuts the
@@ -63,7 +63,7 @@ def sort_news(news: DataFrame) -> DataFrame:
     return news.orderBy(ts.desc(), "news_id")
 
 
-def news_with_fallback(stock_news: DataFrame, global_news: DataFrame, alias_dim: DataFrame, limit: int = 500) -> DataFrame:
+def news_with_fallback(stock_news: DataFrame, global_news: DataFrame, alias_dim: DataFrame, limit: int | None = None) -> DataFrame:
     """Own news of a stock where there is any, otherwise the global items that name it."""
     have = stock_news.select("stock_code").distinct()
     missing = alias_dim.join(have, alias_dim["code"] == have["stock_code"], "left_anti")

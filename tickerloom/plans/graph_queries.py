@@ -52,7 +52,7 @@ def c7(spark, sf):
     return graph.concept_stocks(fx.edges(spark, sf), fx.stock_dim(spark, sf), "Brand#1")
 
 
-@query("c7_sector_members", "SELECT stock_code, name, industry, sector FROM fx_stock WHERE sector = 'ASIA' OR industry = 'ASIA' ORDER BY stock_code LIMIT 20")
+@query("c7_sector_members", "SELECT stock_code, name, industry, sector FROM fx_stock WHERE sector = 'ASIA' OR industry = 'ASIA'")
 def c7b(spark, sf):
     return graph.sector_members(fx.company(spark, sf), "ASIA").select("stock_code", "name", "industry", "sector")
 

@@ -173,12 +173,12 @@ def e11(spark, sf):
     "c12_sample_news_window",
     f"""SELECT {KEY}, news_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY stock_code, trade_date ORDER BY publish_time DESC, news_id) AS rank FROM (
     SELECT c.stock_code, c.trade_date, n.news_id, n.publish_time FROM (SELECT *, lag(close_ts) OVER (PARTITION BY stock_code ORDER BY trade_date) AS open_ts FROM fx_cal) c
-    JOIN fx_news n ON n.stock_code = c.stock_code AND n.publish_time <= c.close_ts AND (c.open_ts IS NULL OR n.publish_time > c.open_ts))) WHERE rank <= 5""",
+    JOIN fx_news n ON n.stock_code = c.stock_code AND n.publish_time <= c.close_ts AND (c.open_ts IS NULL OR n.publish_time > c.open_ts)))""",
     i="rank", t="trade_date",
 )
 def c12(spark, sf):
     c = fx.calendar(spark, sf)
-    return cal.sample_news_window(c, c, fx.news(spark, sf), 5).select("stock_code", "trade_date", "news_id", "rank")
+    return cal.sample_news_window(c, c, fx.news(spark, sf)).select("stock_code", "trade_date", "news_id", "rank")
 
 
 # ---- impact on stocks

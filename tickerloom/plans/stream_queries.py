@@ -41,7 +41,7 @@ BUCKETS = """SELECT lpad(CAST(user_id % 10 AS VARCHAR), 6, '0') AS stock_code,
 
 @query("j3_stream_daily_news", BUCKETS, d="avg_sentiment news_sentiment_abs_sum", i="news_count")
 def j3(spark, sf):
-    return run_available(st.stream_daily_news(stream(spark, sf)), "complete", "j3")
+    return run_available(st.stream_daily_news(stream(spark, sf)), "update", "j3", ["stock_code", "close_ts"])
 
 
 @query(
@@ -51,10 +51,10 @@ def j3(spark, sf):
     t="trade_date",
 )
 def j4(spark, sf):
-    days = st.effective_days(fx.calendar(spark, sf), "2000-12-30", "2001-02-02")
+    days = st.effective_days(fx.calendar(spark, sf))
     return run_available(st.stream_effective_day(stream(spark, sf), days), "append", "j4").select("news_id", "trade_date")
 
 
 @query("j5_stream_shock_alert", f"SELECT * FROM ({BUCKETS}) WHERE news_count >= 8 OR abs(avg_sentiment) >= 0.45", d="avg_sentiment news_sentiment_abs_sum", i="news_count")
 def j5(spark, sf):
-    return run_available(st.stream_shock_alert(stream(spark, sf)), "update", "j5", ["stock_code", "close_ts"])
+    return st.shock_rows(run_available(st.stream_shock_alert(stream(spark, sf)), "update", "j5", ["stock_code", "close_ts"]))

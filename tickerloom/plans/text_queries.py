@@ -175,12 +175,12 @@ def b10(spark, sf):
     "a9_news_with_fallback",
     """SELECT stock_code, news_id FROM fx_news WHERE CAST(stock_code AS INT) % 2 = 0
     UNION ALL SELECT stock_code, news_id FROM (SELECT mt.stock_code, mt.news_id, row_number() OVER (PARTITION BY mt.stock_code ORDER BY publish_time DESC, mt.news_id) AS r FROM mt JOIN fx_docs USING (news_id)
-    WHERE mt.stock_code NOT IN (SELECT stock_code FROM fx_news WHERE CAST(stock_code AS INT) % 2 = 0)) WHERE r <= 50""",
+    WHERE mt.stock_code NOT IN (SELECT stock_code FROM fx_news WHERE CAST(stock_code AS INT) % 2 = 0))""",
 )
 def a9(spark, sf):
     """Even stocks have news of their own; the others fall back to matched documents."""
     own = fx.news(spark, sf).filter(F.col("stock_code").cast("int") % 2 == 0).select("stock_code", "news_id")
-    return nw.news_with_fallback(own, fx.docs(spark, sf), fx.alias_dim(spark, sf), 50).select("stock_code", "news_id")
+    return nw.news_with_fallback(own, fx.docs(spark, sf), fx.alias_dim(spark, sf)).select("stock_code", "news_id")
 
 
 # ---- de-duplication

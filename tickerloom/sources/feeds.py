@@ -2,6 +2,7 @@
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -28,30 +29,46 @@ def unwrap_jsonp(c: Column) -> Column:
     return F.when(t.startswith("{"), t).otherwise(F.nullif(body, F.lit("")))
 
 
-def _json_path(path: str) -> str:
-    tokens = re.findall(r"[^.\[\]]+", path)
-    return "$" + "".join(f"[{t}]" if t.isdigit() else f"['{t}']" for t in tokens)
+class Rule(NamedTuple):
+    """A field rule, parsed once: a constant, or places to try in order, an attribute (HTML), and what stands in for nothing."""
+
+    constant: str | None = None
+    places: tuple = ()
+    attribute: str = "text"
+    default: str = ""
+
+    @classmethod
+    def parse(cls, rule, fallbacks=()):
+        match rule:
+            case None | "" | []:
+                return cls(places=tuple(fallbacks))
+            case str():
+                return cls(places=(rule,))
+            case list() | tuple():
+                return cls(places=tuple(rule))
+            case {"value": value}:
+                return cls(constant=str(value or "").strip())
+        single = [rule[k] for k in ("path", "field", "selector") if rule.get(k)][:1]
+        return cls(
+            places=(*single, *rule.get("paths", ())) or tuple(fallbacks),
+            attribute=str(rule.get("attr") or "text").lower(),
+            default=str(rule.get("default") or ""),
+        )
+
+
+def _variant_path(path: str) -> str:
+    """a.b[0] in the notation of variant paths: names in quotes, places bare."""
+    steps = (s for part in path.split(".") for s in part.replace("]", "").split("[") if s)
+    return "$" + "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in steps)
 
 
 def _text_at(item: Column, path: str) -> Column:
-    return F.nullif(F.trim(F.try_variant_get(item, _json_path(path), "string")), F.lit(""))
+    return F.nullif(F.trim(F.try_variant_get(item, _variant_path(path), "string")), F.lit(""))
 
 
 def _json_field(item: Column, rule, fallbacks) -> Column:
-    """Text by a rule: path, list of paths, or dict of value / path / paths / default."""
-    default, paths = "", []
-    if isinstance(rule, str):
-        paths = [rule]
-    elif isinstance(rule, (list, tuple)):
-        paths = list(rule)
-    elif isinstance(rule, dict):
-        if "value" in rule:
-            return F.lit(str(rule["value"] or "").strip())
-        first = rule.get("path", rule.get("field"))
-        paths = ([first] if first else []) + list(rule.get("paths", []))
-        default = str(rule.get("default", "") or "")
-    tries = [_text_at(item, p) for p in (paths or fallbacks)]
-    return F.coalesce(*tries, F.lit(default))
+    r = Rule.parse(rule, fallbacks)
+    return F.lit(r.constant) if r.constant is not None else F.coalesce(*[_text_at(item, p) for p in r.places], F.lit(r.default))
 
 
 def normalize_json_feed(payloads: DataFrame, list_path: str = "", field_map: dict | None = None, source_name: str = "", col: str = "payload", as_of: str = "") -> DataFrame:
@@ -66,7 +83,7 @@ def normalize_json_feed(payloads: DataFrame, list_path: str = "", field_map: dic
     )
     get = lambda path: F.try_variant_get("_v", path, "array<variant>")
     if list_path:
-        items = F.coalesce(get(_json_path(list_path)), F.array(F.try_variant_get("_v", _json_path(list_path), "variant")))
+        items = F.coalesce(get(_variant_path(list_path)), F.array(F.try_variant_get("_v", _variant_path(list_path), "variant")))
     else:
         items = F.coalesce(get("$"), *[get(f"$['{k}']") for k in JSON_LIST_KEYS])
     keep = [c for c in payloads.columns if c != col]
@@ -119,20 +136,21 @@ class _Node:
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
+    def nested(self, enter=lambda node: True):
+        """Children of all depths in document order, from a stack: pages nest as deep as they like."""
+        stack = list(reversed(self.children))
+        while stack:
+            c = stack.pop()
+            yield c
+            if isinstance(c, _Node) and enter(c):
+                stack += reversed(c.children)
+
     def walk(self):
-        for c in self.children:
-            if isinstance(c, _Node):
-                yield c
-                yield from c.walk()
+        return (c for c in self.nested() if isinstance(c, _Node))
 
     def text(self):
-        parts = []
-        for c in self.children:
-            parts += c.text_parts() if isinstance(c, _Node) else [c.strip()]
-        return " ".join(p for p in parts if p)
-
-    def text_parts(self):
-        return [self.text()] if self.tag not in ("script", "style") else []
+        shown = (c.strip() for c in self.nested(lambda node: node.tag not in ("script", "style")) if isinstance(c, str))
+        return " ".join(p for p in shown if p)
 
 
 class _Tree(HTMLParser):
@@ -165,9 +183,11 @@ class _Tree(HTMLParser):
 
 
 def _compounds(selector):
-    """Descendant selector as (tag, id, classes) steps."""
+    """Descendant selector as (tag, id, classes) steps; other kinds of selectors are refused, not misread."""
     out = []
     for step in selector.split():
+        if not re.fullmatch(r"(\*|[\w-]+)?([#.][\w-]+)*", step):
+            raise ValueError(f"unsupported selector: {selector}")
         tag = re.match(r"[\w-]*", step).group().lower()
         ident = re.findall(r"#([\w-]+)", step)
         out.append((tag, ident[0] if ident else None, set(re.findall(r"\.([\w-]+)", step))))
@@ -197,21 +217,16 @@ def _select(scope, steps):
 
 
 def _field(node, rule):
-    """Text or attribute of a node by a rule: selector, or dict of value / selector / attr / default."""
+    """Text, attribute or constant of the first node that a rule's selector finds (the node itself without one)."""
     if rule is None:
         return ""
-    rule = {"selector": rule} if isinstance(rule, str) else rule
-    if "value" in rule:
-        return str(rule["value"] or "").strip()
-    attr, default = str(rule.get("attr") or "text").lower(), str(rule.get("default") or "")
-    target = node
-    if rule.get("selector"):
-        target = next(_select(node, _compounds(rule["selector"])), None)
-    if target is None:
-        return default
-    if attr in ("text", "innertext", "content"):
-        return target.text()
-    return str(target.attrs.get(attr, default)).strip()
+    r = Rule.parse(rule)
+    if r.constant is not None:
+        return r.constant
+    found = next(_select(node, _compounds(r.places[0])), None) if r.places else node
+    if found is None:
+        return r.default
+    return found.text() if r.attribute in ("text", "innertext", "content") else str(found.attrs.get(r.attribute, r.default)).strip()
 
 
 def _absolute(base, url):

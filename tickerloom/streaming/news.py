@@ -7,8 +7,13 @@ from tickerloom.operators.calendar import effective_day
 
 
 def stream_news_dedupe(sdf: DataFrame, watermark: str = "1 day", key: str = "news_id") -> DataFrame:
-    """First arrival of each id within the watermark; state older than that is dropped."""
-    return sdf.withWatermark("publish_time", watermark).dropDuplicatesWithinWatermark([key])
+    """First arrival of each id within the watermark; state older than that is dropped.
+
+    The watermark is kept on the time of arrival, which never runs backwards, so items of any publish
+    time and in any order of files pass: an item is compared with those that arrived within ``watermark`` before it.
+    """
+    arrived = sdf.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", watermark)
+    return arrived.dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
 
 def stream_freshness(sdf: DataFrame, as_of: Column | None = None, max_age_hours=72) -> DataFrame:
@@ -21,10 +26,11 @@ def stream_freshness(sdf: DataFrame, as_of: Column | None = None, max_age_hours=
     return sdf.filter(keep)
 
 
-def stream_daily_news(sdf: DataFrame, watermark: str = "1 day", keys=("stock_code",)) -> DataFrame:
+def stream_daily_news(sdf: DataFrame, watermark: str = "3650 days", keys=("stock_code",)) -> DataFrame:
     """Counts and means per stock and day bucket (previous 15:00, 15:00].
 
-    Windows are closed on the left, so event time is moved by a microsecond to close them on the
+    ``watermark`` is how late an item may come and still count; the default suits a backlog whose files are
+    in no order of time. Windows are closed on the left, so event time is moved by a microsecond to close them on the
     right.
     """
     moved = F.col("publish_time") - F.expr("INTERVAL 0.000001 SECOND")
@@ -40,13 +46,15 @@ def stream_daily_news(sdf: DataFrame, watermark: str = "1 day", keys=("stock_cod
     )
 
 
-def effective_days(calendar: DataFrame, first: str, last: str) -> DataFrame:
-    """(stock_code, day, trade_date) for every calendar day between two dates: the static side."""
+def effective_days(calendar: DataFrame, lead_days: int = 3650) -> DataFrame:
+    """(stock_code, day, trade_date) for every day from ``lead_days`` before a stock's first trade day to its last: the static side.
+
+    The range comes from the calendar; a day after the last trade day has no trade day to move to.
+    """
     from tickerloom.operators.calendar import _roll
 
-    days = calendar.select("stock_code").distinct().select(
-        "stock_code", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("_day")
-    )
+    ends = calendar.groupBy("stock_code").agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"))
+    days = ends.select("stock_code", F.explode(F.sequence(F.date_sub(F.col("lo").cast("date"), lead_days), F.col("hi").cast("date"))).alias("_day"))
     steps = _roll(days, calendar, "next").filter(F.col("trade_date").isNotNull())
     return steps.select("stock_code", F.col("_day").alias("day"), "trade_date")
 
@@ -58,7 +66,12 @@ def stream_effective_day(sdf: DataFrame, days: DataFrame, hour: int = 15, minute
     ).drop("day")
 
 
-def stream_shock_alert(sdf: DataFrame, watermark: str = "1 day", min_count: int = 8, min_sent: float = 0.45) -> DataFrame:
-    """Day buckets with many items or strong mean sentiment; run in update mode."""
-    daily = stream_daily_news(sdf, watermark)
-    return daily.filter((F.col("news_count") >= min_count) | (F.abs("avg_sentiment") >= min_sent))
+def stream_shock_alert(sdf: DataFrame, watermark: str = "3650 days") -> DataFrame:
+    """Day buckets, to be run in update mode: a bucket changes with each batch, so ``shock_rows`` picks
+    the alerts from the latest state of each bucket, not from what was emitted on the way."""
+    return stream_daily_news(sdf, watermark)
+
+
+def shock_rows(latest: DataFrame, min_count: int = 8, min_sent: float = 0.45) -> DataFrame:
+    """Buckets with many items or strong mean sentiment."""
+    return latest.filter((F.col("news_count") >= min_count) | (F.abs("avg_sentiment") >= min_sent))

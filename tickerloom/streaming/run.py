@@ -8,17 +8,14 @@ from tickerloom.operators.ordered import scratch_path
 def run_available(sdf: DataFrame, mode: str = "append", name: str = "stream", keys=()) -> DataFrame:
     """Process what is available into the shared folder and read it back.
 
-    append goes to the transactional Parquet sink. complete overwrites the table and update one
-    folder per micro-batch, so a retried batch repeats its output; of updated rows the latest per
-    ``keys`` is kept.
+    append goes to the transactional Parquet sink. update writes one folder per micro-batch, so a retried
+    batch repeats its output; of updated rows the latest per ``keys`` is kept.
     """
     spark = sdf.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     writer = sdf.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
-    elif mode == "complete":
-        query = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(out)).start()
     else:
         query = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")).start()
     query.awaitTermination()
