@@ -25,7 +25,7 @@ from tickerloom.llm.common import bounded_batches, shared_path, stored
 REMEMBERED = 900_000
 STRIDE, FPP = 1000, 0.01
 DOTTED_I = "\u0130"  # the one letter whose small form ends in a mark
-
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe: a run of them is one unit
 
 
 class Encoder:
@@ -65,12 +65,14 @@ class Encoder:
         return [got[w] for w in part]
 
     def learn(self, new: list[str]) -> None:
-        """A word of letters or digits and one closing mark is the word and the mark; plain capitals are their small letters."""
+        """A word of letters or digits and closing marks is the word and the marks; Latin capitals are their small letters."""
         known, stems, tails = self.known, [], []
         for w in new:
-            stem, tail = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[:-1].isalnum() and w[-2] != DOTTED_I else (w, "")
-            stems.append(stem.lower() if stem.isascii() else stem)
-            tails.append(tail)
+            stem = w.rstrip(MARKS)
+            if not stem.isalnum() or stem[-1] == DOTTED_I:
+                stem = w
+            stems.append(stem.lower() if stem.isascii() or max(stem) < "\u0100" else stem)
+            tails.append(w[len(stem) :])
         ask = [w for w in dict.fromkeys([*stems, *tails]) if w and w not in known]
         for i in range(0, len(ask), 1000):
             known.update(zip(ask[i : i + 1000], self.word_ids(ask[i : i + 1000]), strict=True))
@@ -126,6 +128,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
         .option("orc.bloom.filter.fpp", str(FPP))
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(stride))
+        .option("compression", "lz4")
         .orc(out)
     )
 
