@@ -187,7 +187,7 @@ def reassemble(records: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    block = F.expr("aggregate(parts.block, cast('' as binary), (a, b) -> concat(a, b))")
+    block = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")  # bytes stay as they are; one pass
     gap = F.col("parts.segment") != F.sequence(F.lit(1), F.size("parts"))
     joined = groups.withColumn("block", block).withColumn(
         "fault",
