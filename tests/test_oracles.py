@@ -15,6 +15,7 @@ c9_news_propagation d7b_relevance_summary d30_encode_relevance_features b34_b37_
 c4_match_news_to_stocks g5_news_slots g5_multi_key_dedupe a12_normalize_json_feed a14_normalize_feed_xml a15_extract_listing_html
 a16_score_listing_selectors d27_encode_text_stats b49_finalize_panel c13_sample_replay h1_ratio_split h3_row_tail_split e17_rolling_splits
 d15_d19_evaluate_scores d16_roc_auc_panel h14_h15_holdings e20_e21_equity_curve d22_backtest_summary h16_batch_recommend h4_exact_median
+a17_sync_sources a21_news_query_stock_counters h4_h5_prepared_rows h16_recommend_from_text
 j1_stream_news_dedupe j3_stream_daily_news j5_stream_shock_alert""".split()
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()

@@ -9,7 +9,8 @@ from tickerloom.operators.ordered import exact_median, materialize
 from tickerloom.plans import fixtures as fx
 from tickerloom.plans.graph_queries import STATIC_COLS, static
 from tickerloom.plans.news_queries import ALL_DAILY, daily
-from tickerloom.plans.registry import cte, query
+from tickerloom.plans import text_queries  # noqa: F401  (its tables appear in the SQL below)
+from tickerloom.plans.registry import CTES, cte, query
 
 KEY = "stock_code, trade_date"
 TECH = defaults.TECHNICAL_COLUMNS
@@ -463,6 +464,37 @@ def h17(spark, sf):
     return recommend.predict_one("000002", *pred_args(spark, sf), **CONF)
 
 
+# items of documents, matched to stocks by name, in the place of items that carry a stock
+cte(
+    "rt_news",
+    f"""SELECT mt.stock_code, (arrival % 11 - 5) / 10.0::DOUBLE AS sentiment, 0.5::DOUBLE + (arrival % 5) / 10.0::DOUBLE AS importance, trim(title || ' ' || content) AS m,
+    (epoch_us(TIMESTAMP '{fx.AS_OF}') - epoch_us(publish_time)) / 3.6e9 AS h FROM mt JOIN fx_docs USING (news_id)""",
+)
+cte("rt_words", "SELECT *, (length(m) - length(replace(m, 'the', ''))) / 3 AS pos, (length(m) - length(replace(m, 'and', ''))) / 3 AS neg FROM rt_news")
+cte("rt_stats", """SELECT stock_code, count(*) AS news_count, [avg(sentiment), sum(sentiment * exp(-h / 24)) / sum(exp(-h / 24))] AS nf,
+    [(sum(pos) - sum(neg)) / greatest(sum(pos) + sum(neg), 1), avg(sentiment)] AS tf,
+    sum(0.5::DOUBLE * sentiment * importance * greatest(0.1::DOUBLE, least(1.0::DOUBLE, exp(-h * ln(2) / 24)))) / 32 AS sec FROM rt_words GROUP BY 1""")
+for _name in ("blend", "p", "pred"):
+    cte(f"rt_{_name}", CTES[f"rc_{_name}"].replace("rc_", "rt_"))
+
+
+@query("h16_recommend_from_text", "SELECT *, row_number() OVER (ORDER BY expected_return DESC, stock_code) AS rank FROM rt_pred ORDER BY expected_return DESC, stock_code LIMIT 20", d=PRED, i="prediction news_count rank")
+def h16t(spark, sf):
+    """Documents without a stock are matched by code and name first."""
+    n = F.col("arrival")
+    texts = fx.docs(spark, sf).withColumns(
+        {
+            "sentiment": (n % 11 - 5) / 10.0,
+            "importance": 0.5 + (n % 5) / 10.0,
+            "categories": F.array(F.lit("even")),
+            "affected_sectors": F.create_map(F.lit("S1"), F.lit(0.5)),
+        }
+    )
+    stock, market, _, *rest = pred_args(spark, sf)
+    rest[-2:] = ["the"], ["and"]
+    return recommend.recommend_from_text(stock, market, texts, fx.alias_dim(spark, sf), *rest, **CONF)
+
+
 @query("e22_rank", "SELECT stock_code, expected_return, row_number() OVER (ORDER BY expected_return DESC, stock_code) AS rank FROM rc_pred", d="expected_return", i="rank")
 def e22(spark, sf):
     p = recommend.score_stocks(*pred_args(spark, sf), **CONF).select("stock_code", "expected_return")
@@ -491,6 +523,21 @@ def h5(spark, sf):
     return p.agg(*[x for c in ("rsi", "macd", "volume_ratio") for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
 
 
+PREP = "rsi macd volume_ratio"
+cte("h5_filled", "SELECT " + KEY + ", " + ", ".join(f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in PREP.split()) + " FROM tech")
+
+
+@query("h4_h5_prepared_rows", "SELECT " + KEY + ", " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in PREP.split()) + " FROM h5_filled", d=PREP, t="trade_date")
+def h45(spark, sf):
+    """Every bar's indicators with gaps filled by the median, then standardized, through the operators."""
+    from tickerloom.operators import ml
+
+    p = materialize(technical.technical_panel(fx.market(spark, sf)).select("stock_code", "trade_date", *PREP.split()), "panel")
+    prep = ml.median_impute(p, PREP.split())
+    prep.stats = ml.standardize(prep.transform(p), PREP.split())
+    return prep.transform(p)
+
+
 def ml_parts(spark, sf):
     p = technical.technical_panel(fx.market(spark, sf)).dropna(subset=["label_up_5d"])
     p = p.select("stock_code", "trade_date", "future_ret_5d", F.col("label_up_5d").cast("int").alias("label_up_5d"), *ML_COLS)
@@ -509,7 +556,7 @@ def _fit(kind, **kw):
     return run
 
 
-query("h6_h11_logistic")(_fit("logistic", maxIter=50))
+query("h6_h11_logistic")(_fit("logistic"))
 query("h7_random_forest")(_fit("random_forest", numTrees=20, maxDepth=5))
 query("h8_boosted_trees")(_fit("boosted_trees", maxIter=10, maxDepth=3))
 
@@ -518,7 +565,7 @@ query("h8_boosted_trees")(_fit("boosted_trees", maxIter=10, maxDepth=3))
 def h9(spark, sf):
     from tickerloom.operators import ml
 
-    parts = ml_parts(spark, sf).dropna(subset=ML_COLS)
+    parts = ml_parts(spark, sf)
     heads = ml.two_head(parts.filter("split = 'train'"), {"tech": ML_COLS}, max_iter=15)
     return heads.score(parts.filter("split = 'test'")).select("stock_code", "trade_date", "probability", "predicted_return")
 
@@ -551,8 +598,7 @@ def h12(spark, sf):
     n = daily(spark, sf).select("stock_code", "trade_date", "news_count", "weighted_sentiment", "news_impact_total")
     p = technical.technical_panel(fx.market(spark, sf)).dropna(subset=["label_up_5d"]).join(n, ["stock_code", "trade_date"], "left")
     p = p.withColumn("label_up_5d", F.col("label_up_5d").cast("int")).drop("open", "high", "low", "close", "volume")
-    parts = splits.rolling_splits(p, windows=1)
-    return ml.compare_feature_sets(parts, "logistic", 20, maxIter=20)[0]
+    return ml.compare_feature_sets(splits.rolling_splits(p, windows=3), "logistic", 20, maxIter=50)[0]
 
 
 @query("d31_feature_importance")
@@ -560,4 +606,4 @@ def d31(spark, sf):
     from tickerloom.operators import ml
 
     parts = ml_parts(spark, sf)
-    return ml.feature_importance(spark, ml.logistic(parts.filter("split = 'train'"), ML_COLS, maxIter=30), 20)
+    return ml.feature_importance(spark, ml.logistic(parts.filter("split = 'train'"), ML_COLS), 20)

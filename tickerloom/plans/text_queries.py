@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions import codes, text as tx
 from tickerloom.operators import dedupe, encode, matching, news as nw
 from tickerloom.plans import fixtures as fx
-from tickerloom.plans.registry import cte, query
+from tickerloom.plans.registry import CTES, cte, query
 from tickerloom.sources import feeds
 
 LEXICON = dict(
@@ -263,6 +263,41 @@ def a21b(spark, sf):
     return nw.news_query(items(spark, sf), fx.alias_dim(spark, sf), None, "all", 50, as_of, 30)[1]
 
 
+# the same for one stock and one source
+cte("ds_docs", "SELECT * FROM fx_docs WHERE source = 'src1' AND news_id IN (SELECT news_id FROM mt WHERE stock_code = '000007')")
+for _name in ("items", "keys", "prev", "parent", "slot", "kept"):
+    cte(f"ds_{_name}", CTES[f"dd_{_name}"].replace("dd_", "ds_").replace("FROM fx_docs", "FROM ds_docs"))
+
+
+def one_stock(spark, sf):
+    return nw.news_query(items(spark, sf), fx.alias_dim(spark, sf), "000007", "src1", 50, F.lit("2001-01-04").cast("timestamp"), 60)
+
+
+@query(
+    "a21_news_query_stock",
+    "SELECT arrival, nid AS news_id, strftime(publish_time, '%Y-%m-%d %H:%M:%S') AS publish_time FROM ds_kept JOIN ds_items USING (arrival) WHERE publish_time >= TIMESTAMP '2001-01-04' - INTERVAL 60 HOUR ORDER BY publish_time DESC, nid LIMIT 50",
+    i="arrival",
+)
+def a21c(spark, sf):
+    return one_stock(spark, sf)[0].select("arrival", "news_id", "publish_time")
+
+
+@query(
+    "a21_news_query_stock_counters",
+    """SELECT 0 AS bad_timestamp_count, (SELECT count(*) FROM fx_docs WHERE source = 'src1') - (SELECT count(*) FROM ds_docs) AS stock_filtered_out_count,
+    (SELECT count(*) FROM ds_docs) - (SELECT count(*) FROM ds_kept) AS dedup_removed_count,
+    (SELECT count(*) FROM ds_kept JOIN ds_items USING (arrival) WHERE publish_time < TIMESTAMP '2001-01-04' - INTERVAL 60 HOUR) AS age_filtered_count""",
+    i="bad_timestamp_count stock_filtered_out_count dedup_removed_count age_filtered_count",
+)
+def a21d(spark, sf):
+    return one_stock(spark, sf)[1]
+
+
+@query("a17_sync_sources", "SELECT source, count(*) AS fetched FROM fx_docs GROUP BY 1", i="fetched")
+def a17b(spark, sf):
+    return nw.sync_merge(items(spark, sf))[1]
+
+
 # ---- encoders on text
 
 cte("en_docs", "SELECT *, lpad(CAST(arrival % (SELECT count(*) FROM supplier) AS VARCHAR), 6, '0') AS stock_code, trim(title || ' ' || content) AS body FROM fx_docs")
