@@ -557,8 +557,8 @@ def _fit(kind, **kw):
 
 
 query("h6_h11_logistic")(_fit("logistic"))
-query("h7_random_forest")(_fit("random_forest", numTrees=20, maxDepth=5))
-query("h8_boosted_trees")(_fit("boosted_trees", maxIter=10, maxDepth=3))
+query("h7_random_forest")(_fit("random_forest"))
+query("h8_boosted_trees")(_fit("boosted_trees"))
 
 
 @query("h9_two_head")
@@ -566,7 +566,7 @@ def h9(spark, sf):
     from tickerloom.operators import ml
 
     parts = ml_parts(spark, sf)
-    heads = ml.two_head(parts.filter("split = 'train'"), {"tech": ML_COLS}, max_iter=15)
+    heads = ml.two_head(parts.filter("split = 'train'"), {"tech": ML_COLS})
     return heads.score(parts.filter("split = 'test'")).select("stock_code", "trade_date", "probability", "predicted_return")
 
 
@@ -593,12 +593,16 @@ def h10(spark, sf):
 
 @query("h12_compare_feature_sets")
 def h12(spark, sf):
+    """Metrics per window and feature set, uplift per window and the summary, told apart by ``result``."""
     from tickerloom.operators import ml
 
     n = daily(spark, sf).select("stock_code", "trade_date", "news_count", "weighted_sentiment", "news_impact_total")
     p = technical.technical_panel(fx.market(spark, sf)).dropna(subset=["label_up_5d"]).join(n, ["stock_code", "trade_date"], "left")
     p = p.withColumn("label_up_5d", F.col("label_up_5d").cast("int")).drop("open", "high", "low", "close", "volume")
-    return ml.compare_feature_sets(splits.rolling_splits(p, windows=3), "logistic", 20, maxIter=50)[0]
+    metrics_, uplift, summary = ml.compare_feature_sets(splits.rolling_splits(p))
+    named = lambda name, df: df.select(F.lit(name).alias("result"), "*")
+    out = named("metrics", metrics_).unionByName(named("uplift", uplift), allowMissingColumns=True)
+    return out.unionByName(named("summary", summary), allowMissingColumns=True)
 
 
 @query("d31_feature_importance")
