@@ -9,6 +9,8 @@ the sizes of the files before its own: one number per file.
 Equal words have equal ids: a worker remembers words between blanks within a bound and gives only new ones to
 the tokenizer. That is exact for tokenizers that lower the case and whose pieces span neither a blank nor the
 place between a letter or digit and a mark (with ``chunks`` false every text goes to the tokenizer whole).
+Added tokens, such as the end of a text written out, get their own ids as in the library; a word that holds one
+in any case goes to the tokenizer alone and as it is.
 
 Defined cases: a null or empty text has the end id only; rows of equal ids stand together, ordered by text;
 rows without an id come first; an empty table gives an empty table; extra columns are not written.
@@ -38,8 +40,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end, self.chunks, self.known = np.int32(end_id).tobytes(), chunks, {"": b""}
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(c.isspace() for t in self.added for c in t):
+            self.chunks = False  # such a token spans words
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = None
         if suffix:
@@ -49,10 +53,16 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word_ids(self, part: list[str]) -> list[bytes]:
+    def apart(self, words: list[str]) -> set[str]:
+        """Words that hold an added token, in any case."""
+        joined = "\n".join(words).lower()
+        found = [t for t in self.added if t in joined]
+        return {w for w in words if any(t in w.lower() for t in found)} if found else set()
+
+    def word_ids(self, part: list[str], apart: set[str]) -> list[bytes]:
         """Ids of words, many to a call. A word of letters is one unit of the tokenizer and ends with the only id
         of its own that has the end-of-word suffix; other words go in one by one."""
-        plain = [w for w in part if w.isalpha() and DOTTED_I not in w]
+        plain = [w for w in part if w.isalpha() and DOTTED_I not in w and w not in apart]
         got = {}
         if self.ends is not None and len(plain) > 1:
             flat = np.frombuffer(self.ids([" ".join(plain)])[0], "<i4")
@@ -66,8 +76,12 @@ class Encoder:
 
     def learn(self, new: list[str]) -> None:
         """A word of letters or digits and closing marks is the word and the marks; Latin capitals are their small letters."""
-        known, stems, tails = self.known, [], []
+        known, stems, tails, apart = self.known, [], [], self.apart(new)
         for w in new:
+            if w in apart:
+                stems.append(w)
+                tails.append("")
+                continue
             stem = w.rstrip(MARKS)
             if not stem.isalnum() or stem[-1] == DOTTED_I:
                 stem = w
@@ -75,7 +89,7 @@ class Encoder:
             tails.append(w[len(stem) :])
         ask = [w for w in dict.fromkeys([*stems, *tails]) if w and w not in known]
         for i in range(0, len(ask), 1000):
-            known.update(zip(ask[i : i + 1000], self.word_ids(ask[i : i + 1000]), strict=True))
+            known.update(zip(ask[i : i + 1000], self.word_ids(ask[i : i + 1000], apart), strict=True))
         for w, stem, tail in zip(new, stems, tails, strict=True):
             known[w] = known[stem] + known[tail] if tail else known[stem]
 
