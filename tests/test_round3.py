@@ -1,11 +1,12 @@
-"""Registered models at the operators' defaults."""
+"""Registered models at the operators' defaults, context of every keyword hit."""
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tickerloom.operators import ml
-from tickerloom.plans import load, model_queries as mq
+from tickerloom.plans import load, model_queries as mq, text_queries as tq
 
 
 def test_registered_models_take_the_defaults(spark, monkeypatch):
@@ -46,3 +47,19 @@ def test_comparison_returns_its_three_results(spark, monkeypatch):
 
 def test_training_rows_are_spread(spark):
     assert ml._spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() >= 4
+
+
+def test_every_hit_of_the_content_is_judged(spark, monkeypatch):
+    text = "of for, " + "x" * 50 + " in this and " + "x" * 50 + " for one of in for, plain end"
+    docs = spark.createDataFrame([(1, text), (2, "nothing here"), (3, None)], "arrival long, content string")
+    monkeypatch.setattr(tq.fx, "docs", lambda *_: docs)
+    got = {(r.arrival, r.word): (r.hits, r.modifier) for r in load()[0]["b35_context_modifier_hits"](spark, "").collect()}
+    assert got == {(1, "for"): (3, -1.2), (1, "this"): (1, 1.2)}
+    # with the SQL, on the smallest tables
+    name, con = "b35_context_modifier_hits", duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    monkeypatch.undo()
+    key = lambda r: (r["arrival"], r["word"])
+    got = sorted((r.asDict() for r in load()[0][name](spark, "/root/testdata/sf0.001").collect()), key=key)
+    want = sorted(con.sql(load()[1][name]).df().to_dict("records"), key=key)
+    assert got == want and len(got) > 100

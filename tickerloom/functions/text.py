@@ -81,6 +81,17 @@ def context_modifier(context: Column, negation=defaults.NEGATION_WORDS, intensif
     ).otherwise(1.0)
 
 
+def hit_strength(text: Column, word: str, negation=defaults.NEGATION_WORDS, intensify=defaults.INTENSIFY_WORDS, width: int = 8) -> Column:
+    """Sum of the context modifiers over all hits of a word: each looks at the ``width`` characters before it."""
+    neg, inten = _lookback(negation, width), _lookback(intensify, width)
+    hits = count_of(text, word)
+    n = _marked_hits(text, word, neg) if neg else F.lit(0)
+    i = _marked_hits(text, word, inten) if inten else F.lit(0)
+    both = _marked_hits(text, word, neg, inten) if neg and inten else F.lit(0)
+    # plain + 1.2 (i - both) - (n - both) - 1.2 both, with plain = hits - n - i + both
+    return hits - 2.0 * n + 0.2 * i - 0.4 * both
+
+
 def keyword_sentiment(
     text: Column,
     title: Column,
@@ -98,16 +109,10 @@ def keyword_sentiment(
     """
     positive = defaults.POSITIVE_WORDS if positive is None else positive
     negative = defaults.NEGATIVE_WORDS if negative is None else negative
-    neg, inten = _lookback(negation, width), _lookback(intensify, width)
     parts = []
     for sign, words in ((1.0, positive), (-1.0, negative)):
         for word, weight in words.items():
-            hits = count_of(text, word)
-            n = _marked_hits(text, word, neg) if neg else F.lit(0)
-            i = _marked_hits(text, word, inten) if inten else F.lit(0)
-            both = _marked_hits(text, word, neg, inten) if neg and inten else F.lit(0)
-            # plain + 1.2 (i - both) - (n - both) - 1.2 both, with plain = hits - n - i + both
-            strength = hits - 2.0 * n + 0.2 * i - 0.4 * both
+            strength = hit_strength(text, word, negation, intensify, width)
             boost = F.when(title.contains(word), 1.15).otherwise(1.0)
             parts.append(
                 F.when(text.contains(word), F.lit(sign * weight) * boost * strength).otherwise(0.0)

@@ -79,6 +79,25 @@ def b35(spark, sf):
     return fx.docs(spark, sf).select("arrival", tx.context_modifier(F.expr("right(content, 8)"), fx.NEGATION, fx.INTENSIFY).alias("modifier"))
 
 
+KEYWORDS = [*fx.POSITIVE, *fx.NEGATIVE]
+
+
+def _hits_sql(word: str) -> str:
+    """(arrival, word, hits, modifier): the text is split at the word, the context of a hit is the tail before it."""
+    ctx = f"right(list_aggregate(list_slice(ps, greatest(i - 7, 1), i), 'string_agg', '{word}'), 8)"
+    neg, inten = _contains_any("c", fx.NEGATION), _contains_any("c", fx.INTENSIFY)
+    return f"""SELECT arrival, '{word}' AS word, count(*) AS hits, sum(CASE WHEN {neg} THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN {inten} THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END) AS modifier
+    FROM (SELECT arrival, {ctx} AS c FROM (SELECT arrival, ps, unnest(range(1, len(ps))) AS i FROM (SELECT arrival, string_split(content, '{word}') AS ps FROM fx_docs))) GROUP BY 1"""
+
+
+@query("b35_context_modifier_hits", " UNION ALL ".join(map(_hits_sql, KEYWORDS)), d="modifier", i="arrival hits")
+def b35_hits(spark, sf):
+    """Every hit of every keyword in the whole content, judged by what stands before it."""
+    c = F.col("content")
+    each = [F.struct(F.lit(w).alias("word"), tx.count_of(c, w).alias("hits"), tx.hit_strength(c, w, fx.NEGATION, fx.INTENSIFY).alias("modifier")) for w in KEYWORDS]
+    return fx.docs(spark, sf).select("arrival", F.explode(F.array(*each)).alias("h")).select("arrival", "h.*").filter("hits > 0")
+
+
 @query(
     "b33_b39_text_rules",
     f"""SELECT arrival, array_to_string(CASE WHEN len({CATS}) > 0 THEN {CATS} ELSE ['other'] END, ',') AS categories, importance,
