@@ -1,8 +1,8 @@
-"""The queries op1-op10 and pipeline: thin forms of the operators with production parameters, and their SQL."""
+"""The queries op1-op13 and pipeline: thin forms of the operators with production parameters, and their SQL."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickerloom.llm import jaccard, lattice, lbl, mixing, omh, orc_tokens, pii, piece, toxicity, warc
+from tickerloom.llm import decontaminate, jaccard, lattice, lbl, mixing, omh, orc_tokens, pii, piece, toxicity, warc
 from tickerloom.llm.common import bounded_batches, held_out, table
 
 
@@ -59,11 +59,15 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_omh, op2_warc, op3_lbl, op4_pii, op5_toxicity, op6_piece, op7_mixing, op8_jaccard, op9_orc, op10_lattice, pipeline)}
-ORACLES = {"op2_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_omh, op2_warc, op3_lbl, op4_pii, op5_toxicity, op6_piece, op7_mixing, op8_jaccard, op9_orc, op10_lattice, op13_decontaminate, pipeline)}
+ORACLES = {"op2_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE, "op13_decontaminate": decontaminate.ORACLE}
