@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickerloom.llm import align, decontaminate, jaccard, lattice, lbl, mixing, omh, orc_tokens, pii, piece, toxicity, warc
+from tickerloom.llm import align, blockmax, decontaminate, jaccard, lattice, lbl, mixing, omh, orc_tokens, pii, piece, toxicity, warc
 from tickerloom.llm.common import bounded_batches, held_out, table
 
 
@@ -59,6 +59,10 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.link_statistics(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -73,5 +77,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_omh, op2_warc, op3_lbl, op4_pii, op5_toxicity, op6_piece, op7_mixing, op8_jaccard, op9_orc, op10_lattice, op12_align, op13_decontaminate, pipeline)}
-ORACLES = {"op2_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE, "op13_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_omh, op2_warc, op3_lbl, op4_pii, op5_toxicity, op6_piece, op7_mixing, op8_jaccard, op9_orc, op10_lattice, op11_blockmax, op12_align, op13_decontaminate, pipeline)}
+ORACLES = {"op2_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE, "op11_blockmax": blockmax.ORACLE, "op13_decontaminate": decontaminate.ORACLE}
