@@ -1,13 +1,20 @@
 """Stock-sector graph: correlations, neighbours, propagation.
 
-Stocks with the same sectors and weights are copies of one profile. Pairs are formed between
-distinct profiles only and carry member counts, so a large group of identical stocks never
-meets itself; summaries work on the profile pairs and no matrix is built.
+The correlation of two stocks is the mean of their weights over the sectors that both hold, so whom a stock
+meets on exactly the sectors S, and with which sum of weights, decides everything. Summaries need no pairs: stocks are
+counted per subset of the sectors they hold (few per stock, 2^k subsets), and inclusion and exclusion over the larger
+subsets gives, for every set of sectors A and each S within it, how many stocks share exactly S with it. The work is
+linear in the number of stocks, also where one sector holds half of them. Lists of neighbours read the first codes of
+these groups. The pair list itself is built only on request.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom.functions.maths import round_half_up
+from tickerloom.operators.ordered import materialize
+
+UNIT = 1_000_000  # weights count to six places
+MOST_SECTORS = 16  # of one stock; more raise an error, since 2^k subsets are counted
 
 
 def profiles(edges: DataFrame) -> DataFrame:
@@ -17,19 +24,14 @@ def profiles(edges: DataFrame) -> DataFrame:
     )
 
 
-def _profile_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """One copy of each profile's edges, from its first member."""
-    first = members.groupBy("profile").agg(F.min("stock_code").alias("stock_code"))
-    return edges.join(first, "stock_code").select("profile", "sector", "weight")
-
-
-def profile_correlation(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(p1, p2, corr) of distinct profiles that share a sector, both directions and p1 = p2."""
-    one = _profile_edges(edges, members)
-    a = one.select(F.col("profile").alias("p1"), "sector", F.col("weight").alias("w1"))
-    b = one.select(F.col("profile").alias("p2"), "sector", F.col("weight").alias("w2"))
+def profile_pairs(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(p1, p2, corr, n1, n2) of profiles that share a sector, both directions and p1 = p2, with their numbers of stocks."""
+    size = members.groupBy("profile").agg(F.min("stock_code").alias("stock_code"), F.count("*").alias("n"))
+    one = edges.join(size, "stock_code")
+    a = one.select(F.col("profile").alias("p1"), "sector", F.col("weight").alias("w1"), F.col("n").alias("n1"))
+    b = one.select(F.col("profile").alias("p2"), "sector", F.col("weight").alias("w2"), F.col("n").alias("n2"))
     return a.join(b, "sector").groupBy("p1", "p2").agg(
-        round_half_up(F.avg((F.col("w1") + F.col("w2")) / 2), 3).alias("corr")
+        round_half_up(F.avg((F.col("w1") + F.col("w2")) / 2), 3).alias("corr"), F.max("n1").alias("n1"), F.max("n2").alias("n2")
     )
 
 
@@ -43,7 +45,7 @@ def stock_pair_correlation(edges: DataFrame, codes: DataFrame | None = None) ->
     m1 = members.select(F.col("stock_code").alias("code1"), F.col("profile").alias("p1"))
     m2 = members.select(F.col("stock_code").alias("code2"), F.col("profile").alias("p2"))
     return (
-        profile_correlation(used, members)
+        profile_pairs(used, members)
         .join(m1, "p1")
         .join(m2, "p2")
         .filter("code1 <> code2")
@@ -51,29 +53,86 @@ def stock_pair_correlation(edges: DataFrame, codes: DataFrame | None = None) ->
     )
 
 
+def _subsets(held: str) -> Column:
+    """Every non-empty subset of an array column, as one mask of bits per row."""
+    k = F.size(held)
+    few = F.when(k <= MOST_SECTORS, k).otherwise(F.raise_error(F.lit(f"a stock holds more than {MOST_SECTORS} sectors")).cast("int"))
+    return F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), few) - 1))
+
+
+def _chosen(held: str, mask: str) -> Column:
+    return F.filter(held, lambda x, i: F.getbit(F.col(mask), i) == 1)
+
+
+def _sectors(held: Column) -> Column:
+    return F.transform(held, lambda x: x["sector"])
+
+
+def _weight_on(held: Column, sectors: Column | None = None) -> Column:
+    """Weight in millionths over the listed sectors, or over all."""
+    on = held if sectors is None else F.filter(held, lambda x: F.array_contains(sectors, x["sector"]))
+    return F.aggregate(on, F.lit(0).cast("long"), lambda s, x: s + x["u"])
+
+
+def _correlation(total: Column, shared: Column) -> Column:
+    """Both sides' weight over the shared sectors as their mean, half up to three places, in whole units."""
+    return F.floor((total * 1000 + shared * UNIT) / (shared * (2 * UNIT))) / 1000.0
+
+
+def holdings(edges: DataFrame) -> DataFrame:
+    """(stock_code, held): a stock's sectors with weights in millionths, sorted; written once, as several passes read it."""
+    unit = F.round(F.col("weight") * UNIT).cast("long")
+    return materialize(edges.groupBy("stock_code").agg(F.sort_array(F.collect_list(F.struct("sector", unit.alias("u")))).alias("held")), "holdings")
+
+
+def _kinds(held: DataFrame) -> DataFrame:
+    """(held, kind, n): stocks of equal sectors and weights, named by their first code."""
+    return held.groupBy("held").agg(F.min("stock_code").alias("kind"), F.count("*").alias("n"))
+
+
+def exact_meetings(held: DataFrame) -> DataFrame:
+    """(a, s, w, n): n stocks share exactly the sectors s with a stock that holds the sectors a, and weigh w there.
+
+    Stocks with s and weight w on it, counted once per superset u of s that they hold, enter with the sign of the
+    sectors that u has beyond s; over all u within a only the stocks without further common sectors remain.
+    """
+    part = held.select("held", _subsets("held").alias("m")).groupBy(_chosen("held", "m").alias("held")).agg(F.count("*").alias("n"))
+    inner = part.select("held", "n", _subsets("held").alias("m")).select("held", "n", _chosen("held", "m").alias("on"))
+    sign = F.when((F.size("held") - F.size("on")) % 2 == 0, F.col("n")).otherwise(-F.col("n"))
+    counts = inner.groupBy(_sectors(F.col("held")).alias("u"), _sectors(F.col("on")).alias("s"), _weight_on(F.col("on")).alias("w")).agg(F.sum(sign).alias("n"))
+    sets = held.select(_sectors(F.col("held")).alias("a")).distinct()
+    within = sets.select("a", _subsets("a").alias("m")).select("a", _chosen("a", "m").alias("u"))
+    return within.join(counts, "u").groupBy("a", "s", "w").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def _groups(kinds: DataFrame, meetings: DataFrame) -> DataFrame:
+    """(kind, a, s, w, n, corr): for each kind its groups of stocks, itself among them."""
+    met = kinds.select("kind", "held", _sectors(F.col("held")).alias("a")).join(meetings, "a")
+    total = _weight_on(F.col("held"), F.col("s")) + F.col("w")
+    return met.select("kind", "a", "s", "w", "n", _correlation(total, F.size("s")).alias("corr"))
+
+
 def _peer_values(edges: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members and, per profile, (p1, corr, n): how many stocks have that correlation with it."""
-    used = edges.join(codes.select("stock_code"), "stock_code", "left_semi")
-    members = profiles(used)
-    sizes = members.groupBy(F.col("profile").alias("p2")).agg(F.count("*").alias("n"))
-    values = (
-        profile_correlation(used, members).join(sizes, "p2").groupBy("p1", "corr").agg(F.sum("n").alias("n"), F.max(F.when(F.col("p1") == F.col("p2"), 1).otherwise(0)).alias("own"))
-    )
-    return members, values
+    """Members (stock_code, kind) and, per kind, (kind, corr, n): how many other stocks have that correlation with it."""
+    held = holdings(edges.join(codes.select("stock_code"), "stock_code", "left_semi"))
+    kinds = _kinds(held)
+    itself = kinds.select("kind", _correlation(2 * _weight_on(F.col("held")), F.size("held")).alias("corr"), F.lit(-1).cast("long").alias("n"))
+    values = _groups(kinds, exact_meetings(held)).select("kind", "corr", "n").union(itself).groupBy("kind", "corr").agg(F.sum("n").alias("n")).filter("n > 0")
+    return held.join(kinds.select("held", "kind"), "held").select("stock_code", "kind"), values
 
 
 def relevance_summary(edges: DataFrame, codes: DataFrame) -> DataFrame:
     """Mean, max, population std and share above 0.5 of the correlation with all other stocks."""
     members, values = _peer_values(edges, codes)
     n = codes.agg(F.count("*")).scalar()
-    c, k = F.col("corr"), F.col("n") - F.col("own")
-    sums = values.groupBy("p1").agg(
+    c, k = F.col("corr"), F.col("n")
+    sums = values.groupBy("kind").agg(
         F.sum(c * k).alias("_s"),
         F.sum(c * c * k).alias("_q"),
-        F.max(F.when(k > 0, c)).alias("_m"),
+        F.max(c).alias("_m"),
         F.sum(F.when(c > 0.5, k).otherwise(0)).alias("_h"),
     )
-    per = members.join(sums, F.col("profile") == F.col("p1")).select("stock_code", "_s", "_q", "_m", "_h")
+    per = members.join(sums, "kind").select("stock_code", "_s", "_q", "_m", "_h")
     peers = F.col("_peers")
     mean = F.col("_s") / peers
     out = codes.select("stock_code").join(per, "stock_code", "left").withColumn("_peers", n - 1)
@@ -87,30 +146,19 @@ def relevance_summary(edges: DataFrame, codes: DataFrame) -> DataFrame:
     )
 
 
-def encode_relevance_features(edges: DataFrame, codes: DataFrame, width: int = 16) -> DataFrame:
-    """(stock_code, relevance array): row statistics including the stock itself, then the top 10."""
-    members, values = _peer_values(edges, codes)
-    n = codes.agg(F.count("*")).scalar()
-    c, k = F.col("corr"), F.col("n") - F.col("own")
-    w = Window.partitionBy("p1").orderBy(F.col("corr").desc())
-    top = (
-        values.withColumn("_k", k)
-        .filter("_k > 0")
-        .withColumn("_rn", F.row_number().over(w))
-        .filter("_rn <= 9")
-        .groupBy("p1")
-        .agg(F.sort_array(F.collect_list(F.struct("corr", "_k")), asc=False).alias("_t"))
-        .select("p1", F.slice(F.flatten(F.transform("_t", lambda t: F.array_repeat(t["corr"], F.least(t["_k"], F.lit(9)).cast("int")))), 1, 9).alias("_top"))
-    )
-    sums = values.groupBy("p1").agg(
+def _relevance_vectors(listed: DataFrame, members: DataFrame, values: DataFrame, n: Column, width: int) -> DataFrame:
+    """(stock_code, relevance array) of the listed stocks: row statistics including the stock itself, then the top 10."""
+    c, k = F.col("corr"), F.col("n")
+    highest = F.slice(F.sort_array(F.collect_list(F.struct("corr", "n")), asc=False), 1, 9)  # of 1,001 values at most
+    per = values.groupBy("kind").agg(
         F.sum(c * k).alias("_s"),
         F.sum(c * c * k).alias("_q"),
         F.sum(F.when(c > 0.5, k).otherwise(0)).alias("_h5"),
         F.sum(F.when(c > 0.7, k).otherwise(0)).alias("_h7"),
+        highest.alias("_t"),
     )
-    per = members.join(sums, F.col("profile") == F.col("p1")).drop("p1").join(
-        top, F.col("profile") == F.col("p1"), "left"
-    )
+    repeated = F.flatten(F.transform("_t", lambda t: F.array_repeat(t["corr"], F.least(t["n"], F.lit(9)).cast("int"))))
+    per = members.join(per.withColumn("_top", F.slice(repeated, 1, 9)), "kind")
     z = lambda name: F.coalesce(F.col(name), F.lit(0.0))
     mean = (z("_s") + 1.0) / F.col("_n")
     stats = F.array(
@@ -126,42 +174,85 @@ def encode_relevance_features(edges: DataFrame, codes: DataFrame, width: int = 1
     )
     vec = F.concat(stats, F.slice(row, 1, 10), F.array_repeat(F.lit(0.0), width))
     return (
-        codes.select("stock_code")
+        listed.select("stock_code")
         .join(per.select("stock_code", "_s", "_q", "_h5", "_h7", "_top"), "stock_code", "left")
         .withColumn("_n", n)
         .select("stock_code", F.slice(vec, 1, width).alias("relevance"))
     )
 
 
+def encode_relevance_features(edges: DataFrame, codes: DataFrame, width: int = 16) -> DataFrame:
+    """(stock_code, relevance array): row statistics including the stock itself, then the top 10."""
+    members, values = _peer_values(edges, codes)
+    return _relevance_vectors(codes, members, values, codes.agg(F.count("*")).scalar(), width)
+
+
+def encode_relevance_of(code: str, edges: DataFrame, codes: DataFrame, width: int = 16) -> DataFrame:
+    """The relevance vector of one stock, outward from its own sectors: only edges of those sectors are read on."""
+    own = edges.filter(F.col("stock_code") == code).select("sector", F.col("weight").alias("_w"))
+    near = edges.filter(F.col("stock_code") != code).join(F.broadcast(own), "sector").join(codes.select("stock_code"), "stock_code", "left_semi")
+    unit = lambda c: F.round(F.col(c) * UNIT).cast("long")
+    met = near.groupBy("stock_code").agg(F.sum(unit("weight") + unit("_w")).alias("total"), F.count("*").alias("shared"))
+    values = met.groupBy(_correlation(F.col("total"), F.col("shared")).alias("corr")).agg(F.count("*").alias("n")).select(F.lit(code).alias("kind"), "corr", "n")
+    listed = codes.filter(F.col("stock_code") == code)
+    members = listed.select("stock_code", F.col("stock_code").alias("kind"))
+    return _relevance_vectors(listed, members, values, codes.agg(F.count("*")).scalar(), width)
+
+
 def relevance_lookup(df: DataFrame, relevance: DataFrame) -> DataFrame:
     """Attach the relevance vector; stocks outside the graph get zeros."""
     width = F.array_repeat(F.lit(0.0), 16)
     return df.join(relevance, "stock_code", "left").withColumn("relevance", F.coalesce("relevance", width))
 
 
+def _first_codes(held: DataFrame, needed: DataFrame, top: int) -> DataFrame:
+    """(a, s, w, code): the first ``top`` codes of each needed group (a, s, w, n) of stocks that share exactly s with a.
+
+    The codes that hold s and weigh w there are read in order; those that share more with a do not count. The first
+    few per (s, w), cut to so many per task before the shuffle, nearly always hold enough; groups that
+    they leave short read all codes of their (s, w).
+    """
+    few = 4 * top
+    index = held.select("stock_code", "held", _subsets("held").alias("m")).select(
+        F.col("stock_code").alias("code"), _sectors(F.col("held")).alias("b"), _chosen("held", "m").alias("on")
+    ).select("code", "b", _sectors(F.col("on")).alias("s"), _weight_on(F.col("on")).alias("w"))
+    in_order = Window.partitionBy("s", "w").orderBy("code")
+    begin = index.withColumn("_r", F.row_number().over(in_order)).filter(F.col("_r") <= few).drop("_r")
+    exact = F.size(F.array_intersect("a", "b")) == F.size("s")
+    found = needed.join(begin, ["s", "w"]).filter(exact).select("a", "s", "w", "code")
+    got = found.groupBy("a", "s", "w").agg(F.count("*").alias("_got"))
+    short = needed.join(got, ["a", "s", "w"], "left").filter(F.coalesce("_got", F.lit(0)) < F.least("n", F.lit(top))).select("a", "s", "w")
+    rest = short.join(index, ["s", "w"]).filter(exact).select("a", "s", "w", "code")
+    first = Window.partitionBy("a", "s", "w").orderBy("code")
+    return found.union(rest).distinct().withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= top).drop("_r")
+
+
 def related_stocks(edges: DataFrame, stock_dim: DataFrame, top_n: int = 10, min_corr: float = 0.3) -> DataFrame:
-    """(stock_code, code, name, industry, corr, rank): the most correlated other stocks.
+    """(stock_code, code, name, industry, corr, rank): the most correlated other stocks, ties by code.
 
-    Ranking runs between profiles first: per profile at most top_n + 1 members of another
-    profile can matter, so a profile with very many members adds only that many rows.
+    Per kind only the groups that can reach the first top_n + 1 places (one may be the stock itself) are opened.
     """
-    members = profiles(edges)
-    pairs = profile_correlation(edges, members).filter(F.col("corr") >= min_corr)
-    few = (
-        members.withColumn("_rn", F.row_number().over(Window.partitionBy("profile").orderBy("stock_code")))
-        .filter(F.col("_rn") <= top_n + 1)
-        .select(F.col("profile").alias("p2"), F.col("stock_code").alias("code"))
-    )
-    by_profile = Window.partitionBy("p1").orderBy(F.col("corr").desc(), "code")
+    held = holdings(edges)
+    kinds = _kinds(held)
+    groups = _groups(kinds, exact_meetings(held)).filter(F.col("corr") >= min_corr)
+    down = Window.partitionBy("kind").orderBy(F.col("corr").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = F.sum("n").over(down) - F.sum("n").over(Window.partitionBy("kind", "corr"))
+    opened = groups.withColumn("_ahead", ahead).filter(F.col("_ahead") <= top_n).select("kind", "a", "s", "w", "n", "corr")
+    opened = materialize(opened, "groups")
+    codes = _first_codes(held, opened.select("a", "s", "w", "n").distinct(), top_n + 1)
+    by_kind = Window.partitionBy("kind").orderBy(F.col("corr").desc(), "code")
     best = (
-        pairs.join(few, "p2")
-        .withColumn("_rn", F.row_number().over(by_profile))
+        opened.select("kind", "a", "s", "w", "corr")
+        .join(codes, ["a", "s", "w"])
+        .withColumn("_rn", F.row_number().over(by_kind))
         .filter(F.col("_rn") <= top_n + 1)
-        .select("p1", "code", "corr")
+        .select("kind", "code", "corr")
     )
     w = Window.partitionBy("stock_code").orderBy(F.col("corr").desc(), "code")
     return (
-        members.join(best, F.col("profile") == F.col("p1"))
+        held.join(kinds.select("held", "kind"), "held")
+        .select("stock_code", "kind")
+        .join(best, "kind")
         .filter("stock_code <> code")
         .withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= top_n)

@@ -48,8 +48,8 @@ def forward_label(df: DataFrame, price: str = "close", horizon: int = 5, thresho
 
 def min_history(df: DataFrame, n: int, key: str = "stock_code") -> DataFrame:
     """Keep stocks with at least n rows."""
-    keep = df.groupBy(key).count().filter(F.col("count") >= n).select(key)
-    return df.join(keep, key, "left_semi")
+    rows = F.count("*").over(Window.partitionBy(key))
+    return df.withColumn("_rows", rows).filter(F.col("_rows") >= n).drop("_rows")
 
 
 def tail_days(df: DataFrame, n: int, key: str = "stock_code", day: str = "trade_date") -> DataFrame:

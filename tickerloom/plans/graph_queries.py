@@ -23,12 +23,7 @@ cte(
 def c5(spark, sf):
     """The correlation matrix by distinct profiles, with the number of stocks of each profile."""
     e = fx.edges(spark, sf)
-    members = graph.profiles(e)
-    sizes = members.groupBy("profile").agg(F.count("*").alias("n"))
-    pairs = graph.profile_correlation(e, members)
-    out = pairs.join(sizes.select(F.col("profile").alias("p1"), F.col("n").alias("n1")), "p1").join(
-        sizes.select(F.col("profile").alias("p2"), F.col("n").alias("n2")), "p2"
-    )
+    out = graph.profile_pairs(e, graph.profiles(e))
     as_text = lambda c: F.array_join(
         F.transform(F.from_json(c, "array<struct<sector string, weight double>>"), lambda e: F.concat(e["sector"], F.lit("="), e["weight"].cast("string"))), "|"
     )
