@@ -60,6 +60,7 @@ def test_against_plain_ranking(tables, kw):
 def test_wanted_terms_alone_give_the_same(tables):
     wanted = {t for _, text in ITEMS for t in bm.terms(text)}
     assert sorted(map(tuple, bm.search(*tables, wanted=wanted).collect()), key=str) == plain(DOCS, ITEMS)
+    assert bm.search(*tables, wanted={b"nowhere"}).count() == 0
 
 
 def test_pruning_is_exact_and_skips_blocks():
@@ -69,9 +70,9 @@ def test_pruning_is_exact_and_skips_blocks():
         w = bm.ShardWriter(None)
         for i in range(12_000):
             w.add(i * 7 % 12_000, [x for k, x in enumerate(words) for _ in range(R.randint(1, 3)) if R.random() < 1.0 / (k + 1) ** 1.3] or [b"z"])
-        rows = {r[1]: dict(zip(bm.NAMES, r, strict=True)) for r in w.rows()}
+        rows = {r["term"]: r for r in w.batch().to_pylist()}
         head = rows.pop(None)
-        ids, lengths = (np.frombuffer(head[k], np.int64) for k in ("ids", "lengths"))
+        ids, lengths = (np.array(head[k], np.int64) for k in ("ids", "lengths"))
         totals = (len(ids), int(lengths.sum()))
         m = bm.shortness(lengths, *totals)
         asked = {t: R.randint(1, 2) for t in R.sample(sorted(rows), 8)}

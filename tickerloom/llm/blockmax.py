@@ -2,8 +2,8 @@
 
 Index. Tasks tokenise whole texts and cut their documents into shards of about ``SHARD_POSTINGS`` postings. A row of
 the index is one term of one shard: documents holding it, occurrences, and blocks of ``BLOCK`` postings, each with its
-last document, its highest number of occurrences, its shortest document, and the postings compressed. Shards also keep
-their documents' lengths and ids, so the corpus counts N and L and every df are sums over index rows.
+last document, its highest number of occurrences, its shortest document, and the postings packed into as few bytes as
+the block needs. Shards also keep their documents' lengths and ids, so the corpus counts N and L and every df are sums over index rows.
 
 Search. Items come in blocks of bounded size, and only their terms' rows are read. Per shard and item, global
 bounds (a term's weight at its best posting of the shard) order the terms; the terms whose bounds together cannot reach
@@ -24,7 +24,7 @@ also those of equal or null ids; an empty table gives an empty result; extra col
 
 import heapq
 import math
-import zlib
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tickerloom.llm.common import _fields, bounded_batches, stored
 
 TOP = 10
-SHARD_POSTINGS = 2_000_000
+SHARD_POSTINGS = 1_000_000
 BLOCK = 128
 WINDOW = 4096  # documents of a shard that are taken at once
 ITEM_BYTES = 8 << 20  # most bytes of items that are ranked in one go
@@ -43,7 +43,10 @@ LAST_ID = np.iinfo(np.int64).max  # stands for a null id
 # a byte table: A-Z become small, digits, letters and bytes beyond ASCII stay, everything else ends a term
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
-INDEX_SCHEMA = "shard string, term binary, df long, occurrences long, most int, least int, last binary, block_most binary, block_least binary, cut binary, body binary, ids binary, lengths binary"
+INDEX_SCHEMA = (
+    "shard string, term binary, df long, occurrences long, last array<int>, block_most array<int>, block_least array<int>, cut array<int>, "
+    "widths array<int>, body binary, ids array<long>, lengths array<long>"
+)
 NAMES = [f.split()[0] for f in INDEX_SCHEMA.split(", ")]
 
 
@@ -65,59 +68,87 @@ def weight_of(df: int, total_docs: int) -> int:
     return math.floor(1000 * math.log((2 * total_docs + 2) / (2 * df + 1)))
 
 
-def packed(doc: np.ndarray, tf: np.ndarray) -> bytes:
-    """A block of postings: gaps and occurrences, compressed."""
-    return zlib.compress(np.diff(doc, prepend=0).astype("<u4").tobytes() + tf.astype("<u4").tobytes(), 1) if len(doc) > 4 else doc.astype("<u4").tobytes() + tf.astype("<u4").tobytes()
+def widths_of(most: np.ndarray) -> np.ndarray:
+    """Bytes that numbers up to ``most`` take: 1, 2 or 4."""
+    return np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4))
+
+
+def scattered(body: np.ndarray, at: np.ndarray, value: np.ndarray, width: np.ndarray) -> None:
+    """Little-endian values of 1, 2 or 4 bytes into their places of a byte array."""
+    for k in range(4):
+        some = slice(None) if k == 0 else width > k
+        body[at[some] + k] = (value[some] >> (8 * k)) & 255
 
 
-def unpacked(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > 4:
-        gap, tf = np.frombuffer(zlib.decompress(body), "<u4").astype(np.int64).reshape(2, -1)
-        return np.cumsum(gap), tf
-    return tuple(np.frombuffer(body, "<u4").astype(np.int64).reshape(2, -1))
+def unpacked(body: bytes, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and occurrences of a block of n postings; ``width`` holds 8 times the gaps' bytes plus the occurrences'."""
+    gap, tf = divmod(width, 8)
+    return np.cumsum(np.frombuffer(body, f"<u{gap}", n), dtype=np.int64), np.frombuffer(body, f"<u{tf}", n, n * gap).astype(np.int64)
 
 
 class ShardWriter:
     """Collects the documents of one shard and gives its index rows."""
 
-    def __init__(self, wanted: set[bytes] | None):
+    def __init__(self, wanted: set[bytes] | None = None):
         self.wanted, self.vocabulary = wanted, {}
-        self.term, self.doc, self.tf, self.ids, self.lengths, self.postings = [], [], [], [], [], 0
+        self.term, self.distinct, self.tf, self.ids, self.lengths, self.postings = [], [], [], [], [], 0
 
     def add(self, key: int | None, words: list[bytes]) -> None:
-        doc, vocabulary = len(self.ids), self.vocabulary
+        vocabulary = self.vocabulary
         self.ids.append(LAST_ID if key is None else key)
         self.lengths.append(len(words))
         counts = Counter(words)
         if self.wanted is not None:
             counts = {w: counts[w] for w in counts.keys() & self.wanted}
-        self.term.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in counts), np.int64, len(counts)))
-        self.tf.append(np.fromiter(counts.values(), np.int64, len(counts)))
-        self.doc.append(np.full(len(counts), doc, np.int64))
+        self.term += [vocabulary.setdefault(w, len(vocabulary)) for w in counts]
+        self.tf += counts.values()
+        self.distinct.append(len(counts))
         self.postings += len(counts)
 
-    def rows(self):
-        import uuid
-
-        shard = uuid.uuid4().hex
-        lengths = np.array(self.lengths, np.int64)
-        ids = np.array(self.ids, np.int64)
-        yield (shard, None, len(ids), int(lengths.sum()), 0, 0, None, None, None, None, None, ids.tobytes(), lengths.tobytes())
-        term, doc, tf = (np.concatenate(x) for x in (self.term, self.doc, self.tf))
+    def batch(self) -> pa.RecordBatch:
+        """The shard's own row (no term), then a row per term. Blocks of all terms are packed in one go: gaps between
+        documents and occurrences, each in as few bytes (1, 2, 4) as the block needs."""
+        ids, lengths = np.array(self.ids, np.int64), np.array(self.lengths, np.int64)
+        term, tf = np.array(self.term, np.int64), np.array(self.tf, np.int64)
+        doc = np.repeat(np.arange(len(ids)), self.distinct)
         order = np.argsort(term, kind="stable")
-        term, doc, tf = term[order], doc[order], tf[order]
-        size = lengths[doc]
-        starts = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
-        for k, word in enumerate(self.vocabulary):
-            a, z = int(starts[k]), int(starts[k + 1])
-            at = range(a, z, BLOCK)
-            bodies = [packed(doc[i : min(i + BLOCK, z)], tf[i : min(i + BLOCK, z)]) for i in at]
-            most = np.maximum.reduceat(tf[a:z], np.arange(0, z - a, BLOCK))
-            least = np.minimum.reduceat(size[a:z], np.arange(0, z - a, BLOCK))
-            last = doc[np.minimum(np.arange(a, z, BLOCK) + BLOCK, z) - 1]
-            cut = np.cumsum([0, *map(len, bodies)])
-            small = [x.astype("<u4").tobytes() for x in (last, most, least, cut)]
-            yield (shard, word, z - a, int(tf[a:z].sum()), int(most.max()), int(least.min()), *small, b"".join(bodies), None, None)
+        term, doc, tf, size = term[order], doc[order], tf[order], lengths[doc[order]]
+        df = np.bincount(term, minlength=len(self.vocabulary))
+        first = np.concatenate([[0], np.cumsum(df)])
+        blocks = -(-df // BLOCK)  # of each term
+        of = np.concatenate([[0], np.cumsum(blocks)])
+        owner = np.repeat(np.arange(len(df)), blocks)
+        start = first[owner] + (np.arange(len(owner)) - of[owner]) * BLOCK
+        n = np.minimum(start + BLOCK, first[owner + 1]) - start
+        gap = np.diff(doc, prepend=0)
+        gap[start] = doc[start]  # a block starts anew
+        over = (lambda f, x: f.reduceat(x, start)) if len(start) else (lambda f, x: np.zeros(0, np.int64))
+        most, least = over(np.maximum, tf), over(np.minimum, size)
+        wide, narrow = widths_of(over(np.maximum, gap)), widths_of(most)
+        bytes_of = n * (wide + narrow)
+        offset = np.concatenate([[0], np.cumsum(bytes_of)])
+        body = np.zeros(offset[-1], np.uint8)
+        block = np.repeat(np.arange(len(start)), n)
+        inside = np.arange(len(doc)) - start[block]
+        scattered(body, offset[block] + inside * wide[block], gap, wide[block])
+        scattered(body, offset[block] + n[block] * wide[block] + inside * narrow[block], tf, narrow[block])
+        total = np.bincount(term, tf, len(df)).astype(np.int64)
+        # per term the places of its blocks in its own bytes, one more than blocks
+        cut = np.insert(offset[1:] - offset[of[owner]], of[:-1], 0)
+
+        def lists(values, ends, kind, head=None):
+            ends = np.concatenate([[0, 0 if head is None else len(head)], ends[1:] + (0 if head is None else len(head))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(values if head is None else np.concatenate([head, values]), kind))
+
+        per = [lists(x, of, pa.int32()) for x in (doc[start + n - 1], most, least)]
+        cuts, widths = lists(cut, of + np.arange(len(of)), pa.int32()), lists(wide * 8 + narrow, of, pa.int32())
+        ends = np.concatenate([[0], offset[of]]).astype(np.int32)
+        bodies = pa.Array.from_buffers(pa.binary(), len(df) + 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())])
+        none = np.zeros(len(df) + 1, np.int64)
+        heads = [lists(none[:0], none, pa.int64(), x) for x in (ids, lengths)]
+        numbers = [pa.array(np.concatenate([[h], x])) for h, x in ((len(ids), df), (int(lengths.sum()), total))]
+        shard = pa.array([uuid.uuid4().hex] * (len(df) + 1))
+        return pa.RecordBatch.from_arrays([shard, pa.array([None, *self.vocabulary], pa.binary()), *numbers, *per, cuts, widths, bodies, *heads], NAMES)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: set[bytes] | None = None, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
@@ -125,12 +156,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def out(rows):
-        rows = list(rows)
-        for i in range(0, len(rows), 5000):
-            cols = zip(*rows[i : i + 5000], strict=True)
-            types = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 7]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], NAMES)
+    def out(w):
+        whole = w.batch()
+        for i in range(0, whole.num_rows, 20_000):
+            yield whole.slice(i, 20_000)
 
     def run(batches):
         w = ShardWriter(shared.value)
@@ -139,10 +168,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if words := terms(text):
                     w.add(key, words)
                     if w.postings + len(w.ids) >= shard_postings:
-                        yield from out(w.rows())
+                        yield from out(w)
                         w = ShardWriter(shared.value)
         if w.ids:
-            yield from out(w.rows())
+            yield from out(w)
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, INDEX_SCHEMA)
 
@@ -151,18 +180,17 @@ class List:
     """One term's postings in a shard, with bounds for a corpus; blocks are decompressed when asked for."""
 
     def __init__(self, row, weight: int, total_docs: int, total_terms: int):
-        self.weight, self.totals, self.n, self.body = weight, (total_docs, total_terms), row["df"], row["body"]
-        u4 = lambda name: np.frombuffer(row[name], "<u4").astype(np.int64)
-        self.last, self.cut = u4("last"), u4("cut")
-        self.block_bound = part(weight, u4("block_most"), shortness(u4("block_least"), *self.totals))
+        self.weight, self.n, self.body, self.cut, self.widths = weight, row["df"], row["body"], row["cut"], row["widths"]
+        self.last = np.array(row["last"], np.int64)
+        m = shortness(np.array(row["block_least"], np.int64), total_docs, total_terms)
+        self.block_bound = part(weight, np.array(row["block_most"], np.int64), m)
         self.bound = int(self.block_bound.max())
         self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.decompressed = 0
 
     def block(self, k: int):
         if k not in self.known:
-            n = min(BLOCK, self.n - k * BLOCK)
-            self.known[k] = unpacked(self.body[self.cut[k] : self.cut[k + 1]], n)
+            self.known[k] = unpacked(self.body[self.cut[k] : self.cut[k + 1]], self.widths[k], min(BLOCK, self.n - k * BLOCK))
             self.decompressed += 1
         return self.known[k]
 
@@ -260,7 +288,7 @@ def search_block(index: DataFrame, items: list, kind: str, totals: tuple[int, in
 
     def search(rows):
         items, weight = shared.value
-        ids, lengths = (np.frombuffer(rows[None][k], np.int64) for k in ("ids", "lengths"))
+        ids, lengths = (np.array(rows[None][k], np.int64) for k in ("ids", "lengths"))
         m = shortness(lengths, *totals)
         lists = {t: List(r, weight[t], *totals) for t, r in rows.items() if t is not None}
         for at, item, counts in items:
