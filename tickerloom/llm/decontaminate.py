@@ -24,6 +24,7 @@ from tickerloom.llm.common import stored
 WIDTH = 10
 BLOCK_BYTES = 64 << 20  # most bytes of windows in one broadcast
 ROW_BYTES = 64  # counted per window besides its words
+SPREAD = 32  # ways that the rows of one text are dealt to meet its result
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
@@ -108,16 +109,17 @@ def contamination(
     hits = _hits(scanned)
     covered = _reached(hits).groupBy("key").agg(F.sum(F.greatest(F.col("to") - F.greatest("at", "before"), F.lit(0)).cast("long")).alias("n_hit"))
     named = hits.select("key", "window").distinct().join(holders, "window").select("key", "item").distinct()
-    named = named.groupBy("key").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item"))).alias("names"))
-    per_text = covered.join(named, "key")
-    rows = scanned.filter(F.col("at") < 0).select("key", "id", "n_words")
+    named = named.groupBy("key").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("item"))), 256).alias("names"))
+    # a text may stand on a third of all rows: its one result, some 100 bytes, is repeated so that they spread
+    per_text = covered.join(named, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    rows = scanned.filter(F.col("at") < 0).select("key", "id", "n_words", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int").alias("salt"))
     zero = F.lit(0).cast("long")
-    return rows.join(per_text, "key", "left").select(
+    return rows.join(per_text, ["key", "salt"], "left").select(
         F.col("id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", zero).alias("n_hit"),
         F.coalesce("n_items", zero).alias("n_items"),
-        F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"),
+        F.coalesce("names", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
 
