@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickerloom.functions import defaults
 from tickerloom.functions.codes import normalize_url
@@ -170,6 +170,27 @@ def news_quality_score(content: Column, imp: Column, url: Column) -> Column:
     )
 
 
-def char_grams(text: Column, n: int) -> Column:
-    """All overlapping substrings of n characters, in one pass over the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1)
+PLACES = 1 << 16  # places of a text that one generated array holds
+
+
+def wide(text: Column) -> Column:
+    """The text as four bytes a character, in which any place is reached at once."""
+    return F.encode(F.coalesce(text, F.lit("")), "UTF-32")
+
+
+def wide_length(c: Column) -> Column:
+    return F.floor(F.octet_length(c) / 4).cast("int")
+
+
+def wide_slice(c: Column, at: Column, n: Column) -> Column:
+    """n characters from place ``at`` (from 0) of a wide text."""
+    return F.substring(c, at * 4 + 1, n * 4)
+
+
+def each_place(df: DataFrame, text: str, at: str = "_at") -> DataFrame:
+    """A row per place of a wide text, from 0; places come from arrays of bounded size, never from one of all grams."""
+    n = wide_length(F.col(text))
+    pieces = F.explode_outer(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PLACES)))
+    rows = df.select(*df.columns, pieces.alias("_piece"))
+    within = F.explode_outer(F.sequence(F.col("_piece"), F.least(F.col("_piece") + (PLACES - 1), F.greatest(n - 1, F.lit(0)))))
+    return rows.select(*df.columns, within.alias(at))

@@ -219,9 +219,10 @@ cte("fx_norm", "SELECT arrival, news_id, regexp_replace(lower(title), '[^\\p{L}\
 def alias_dim(spark: SparkSession, sf: str) -> DataFrame:
     """(code, alias): the code and two marker strings from the document of the same number."""
     word = normalize_text(F.col("text"))
+    numbers = table(spark, sf, "supplier").select("s_suppkey")
+    own = table(spark, sf, "documents").join(numbers, F.col("s_suppkey") == F.col("doc_id"), "left_semi").select("doc_id", "text")
     marked = (
-        table(spark, sf, "supplier")
-        .join(table(spark, sf, "documents"), F.col("s_suppkey") == F.col("doc_id"), "left")
+        numbers.join(own, F.col("s_suppkey") == F.col("doc_id"), "left")
         .select(pad_code(F.col("s_suppkey")).alias("code"), word.alias("w"))
     )
     forms = F.array("code", F.substring("w", 1, 6), F.substring("w", 1, 9))
