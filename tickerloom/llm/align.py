@@ -1,7 +1,7 @@
 """Alignment of the tokens of two tokenizers by diagonal run skipping, and corpus-wide link counts.
 
 A text is encoded by a byte-level tokenizer (A) and a subword tokenizer with a leading blank (B). Both give the byte
-offsets where their tokens end. Walking both end arrays at one index shift, growing slices are compared (1, 2, 4 ...
+offsets where their tokens end. Walking both end arrays at one index shift, growing slices are compared (8, 16, 32 ...
 places, then halved), so a stretch where each A token faces one B token is jumped in few comparisons. Where the arrays
 differ, the group is closed at the next common end and the shift is updated. Within a group every A token links with
 every B token.
@@ -28,7 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.llm.common import bounded_batches, stored
 
-REMEMBERED = 250_000  # chunks, pair texts and groups that a worker remembers, each
+REMEMBERED = 500_000  # chunks, pair texts and groups that a worker remembers, each
+JOINED = 2000  # new chunks that a tokenizer gets in one call
+PROBE = 8  # places of the first comparison of a stretch
+SPREAD = 32  # ways that rows of equal groups are dealt to meet their result
 LONGEST = 48  # longer chunks are not remembered
 FREQUENT = 1 << 20  # most pairs in the broadcast
 EXPANDED = 4096  # larger groups are counted by their distinct ids
@@ -42,28 +45,30 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def steps(ends_a: list[int], ends_b: list[int]):
+def steps(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int, bool]]:
     """(i, i2, j, j2, single): stretches of one-to-one groups (single), and irregular groups, in order.
 
     Both lists ascend and end alike.
     """
-    i, shift, n = 0, 0, len(ends_a)
+    i, shift, n, out = 0, 0, len(ends_a), []
     while i < n:
         j = i + shift
-        if ends_a[i] == ends_b[j]:
-            size, step = 1, 1
-            while (a := ends_a[i + size : i + size + step]) and a == ends_b[j + size : j + size + step]:
-                size += len(a)
+        x, y = ends_a[i], ends_b[j]
+        if x == y:
+            p, q, step = i + 1, j + 1, PROBE
+            while (a := ends_a[p : p + step]) and a == ends_b[q : q + step]:
+                p += len(a)
+                q += len(a)
                 step *= 2
             while step > 1:
                 step //= 2
-                if (a := ends_a[i + size : i + size + step]) and a == ends_b[j + size : j + size + step]:
-                    size += len(a)
-            yield i, i + size, j, j + size, True
-            i += size
+                if (a := ends_a[p : p + step]) and a == ends_b[q : q + step]:
+                    p += len(a)
+                    q += len(a)
+            out.append((i, p, j, q, True))
+            i = p
         else:
             p, q = i, j
-            x, y = ends_a[p], ends_b[q]
             while x != y:
                 if x < y:
                     p += 1
@@ -71,9 +76,22 @@ def steps(ends_a: list[int], ends_b: list[int]):
                 else:
                     q += 1
                     y = ends_b[q]
-            yield i, p + 1, j, q + 1, False
-            i = p + 1
-            shift = q - p
+            i, p, j, q = p + 1, i, q + 1, j
+            out.append((p, i, q, j, False))
+            shift = j - i
+    return out
+
+
+class PairText(dict):
+    """The text of a one-to-one group by its pair's number, made when first asked for."""
+
+    def __init__(self, n_b: int):
+        super().__init__()
+        self.n_b = n_b
+
+    def __missing__(self, code: int) -> str:
+        text = self[code] = "%d|%d" % divmod(code, self.n_b)
+        return text
 
 
 class Aligner:
@@ -93,38 +111,62 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.n_b = len(pieces)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.pair_text: dict[int, str] = {}
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.bad: set[str] = set()  # chunks whose bytes a tokenizer does not give back
+        self.pair_text = PairText(self.n_b)
         self.groups: dict[tuple, tuple[str, list[int]]] = {}
 
-    def learn(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Ids of chunks by both tokenizers; None where one of them does not give the bytes back."""
-        got = {}
-        ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        ids_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for c, a, b in zip(chunks, ids_a, ids_b, strict=True):
-            raw = c.encode()
-            same = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
-            got[c] = (np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if same else None
-        return got
+    def joined(self, chunks: list[str]) -> bool:
+        """Ids of chunks that follow each other in one text, cut at the chunks' ends; False if that cannot be told."""
+        text = "".join(chunks)
+        raw = text.encode()
+        stops = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in chunks])
+        ids_a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids_b = self.b.encode(text[1:], num_threads=1)
+        for ids, table, sizes, known in ((ids_a, self.bytes_a, self.size_a, self.known_a), (ids_b, self.bytes_b, self.size_b, self.known_b)):
+            if b"".join([table[i] for i in ids]) != raw:
+                return False
+            flat = np.array(ids, "<i4")
+            ends = np.cumsum(sizes[flat])
+            at = np.searchsorted(ends, stops)
+            if (ends[at] != stops).any():
+                return False
+            body, at = flat.tobytes(), (4 * (at + 1)).tolist()
+            known.update(zip(chunks, [body[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)], strict=True))
+        return True
+
+    def learn(self, chunks: list[str]) -> None:
+        """Chunks that end without a blank go in together, as they would in a text; what does not come back whole, alone."""
+        plain = [c for c in chunks if not c[-1].isspace()]
+        alone = [c for c in chunks if c[-1].isspace()]
+        for i in range(0, len(plain), JOINED):
+            part = plain[i : i + JOINED]
+            if not self.joined(part):
+                alone += part
+        for c in alone:
+            if not self.joined([c]):
+                self.bad.add(c)
+                self.known_a[c] = self.known_b[c] = b""
 
     def encode(self, texts: list[str | None]):
         """(ids of A, ids of B) of each text, None without tokens."""
         cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = list(set().union(*cut).difference(known))
-        fresh = {}
-        for i in range(0, len(new), 1000):
-            fresh.update(self.learn(new[i : i + 1000]))
-        known.update({c: v for c, v in fresh.items() if len(c) <= LONGEST})
+        if len(self.known_a) > REMEMBERED:
+            self.known_a, self.known_b, self.bad = {}, {}, set()
+        known_a, known_b, bad = self.known_a, self.known_b, self.bad
+        new = list(set().union(*cut).difference(known_a))
+        self.learn(new)
         for chunks in cut:
-            got = [known[c] if c in known else fresh[c] for c in chunks]
-            if not got or None in got:
+            if not chunks or (bad and not bad.isdisjoint(chunks)):
                 yield None
             else:
-                yield tuple(np.frombuffer(b"".join([g[k] for g in got]), "<i4").astype(np.int64) for k in (0, 1))
+                yield tuple(np.frombuffer(b"".join(map(k.__getitem__, chunks)), "<i4").astype(np.int64) for k in (known_a, known_b))
+        for c in new:
+            if len(c) > LONGEST:
+                known_a.pop(c, None)
+                known_b.pop(c, None)
+                bad.discard(c)
 
     def ends(self, ids) -> tuple[list[int], list[int]]:
         return np.cumsum(self.size_a[ids[0]]).tolist(), np.cumsum(self.size_b[ids[1]]).tolist()
@@ -134,20 +176,21 @@ class Aligner:
         if ids is None:
             return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(self.pair_text) > REMEMBERED:
-            self.pair_text = {}
+            self.pair_text.clear()
         if len(self.groups) > REMEMBERED:
             self.groups = {}
-        a, b = ids[0].tolist(), ids[1].tolist()
-        texts, codes, large, n_links, n_b, pair_text, memo = [], [], [], 0, self.n_b, self.pair_text, self.groups
-        for i, i2, j, j2, single in steps(*self.ends(ids)):
-            if single:
-                for x, y in zip(a[i:i2], b[j:j2], strict=True):
-                    code = x * n_b + y
-                    codes.append(code)
-                    if code not in pair_text:
-                        pair_text[code] = f"{x}|{y}"
-                    texts.append(pair_text[code])
-                n_links += i2 - i
+        a, b, n_b, memo = ids[0].tolist(), ids[1].tolist(), self.n_b, self.groups
+        walked = steps(*self.ends(ids))
+        alone = [s for s in walked if s[4]]
+        size = np.array([s[1] - s[0] for s in alone], np.int64)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        single = ids[0][np.repeat(np.array([s[0] for s in alone], np.int64), size) + at] * n_b + ids[1][np.repeat(np.array([s[2] for s in alone], np.int64), size) + at]
+        named = list(map(self.pair_text.__getitem__, single.tolist()))
+        texts, codes, large, n_links, done = [], [], [], len(named), 0
+        for i, i2, j, j2, one_to_one in walked:
+            if one_to_one:
+                texts += named[done : done + i2 - i]
+                done += i2 - i
                 continue
             n_links += (i2 - i) * (j2 - j)
             if (i2 - i) * (j2 - j) > EXPANDED:
@@ -161,7 +204,7 @@ class Aligner:
             text, linked = memo[key]
             texts.append(text)
             codes += linked
-        pairs, times = np.unique(np.array(codes, np.int64), return_counts=True)
+        pairs, times = np.unique(np.concatenate([single, np.array(codes, np.int64)]), return_counts=True)
         for p, t in large:
             both, at = np.unique(np.concatenate([pairs, p]), return_inverse=True)
             pairs, times = both, np.bincount(at, np.concatenate([times, t])).astype(np.int64)
@@ -286,9 +329,11 @@ def link_statistics(docs: DataFrame, byte_path: str, piece_path: str, id_col: st
     part = stored(rows.select(*names, "pairs", "times").mapInArrow(look_up, schema), "align-part")
     rest = part.filter(F.size("pairs") > 0).select("groups_sha256", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("groups_sha256", "p.pairs", "p.times")
     found = rest.distinct().join(counts, F.col("pairs") == F.col("pair"))  # texts of equal groups have equal links
+    # rows of equal texts share one result, which is repeated so that they spread
     more = found.groupBy("groups_sha256").agg(F.sum(F.col("n") * F.col("times")).alias("_total"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("_most"))
+    more = more.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     zero = F.lit(0).cast("long")
-    return part.join(more, "groups_sha256", "left").select(
+    return part.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).join(more, ["groups_sha256", "_salt"], "left").select(
         F.col("id").alias(id_col),
         "n_a",
         "n_b",

@@ -54,6 +54,46 @@ def ewm(df: DataFrame, spans: dict, key: str = "stock_code", order: str = "trade
     return out.withColumns(entered).withColumns(result).withColumns({n: F.when(F.col(f"_x0_{c}").isNotNull(), F.col(n)) for c, n, _ in jobs}).select(*df.columns, *[n for _, n, _ in jobs])
 
 
+DENSE_REACH, LEAST_REACH = 500.0, 40.0  # log weight that a block spans, for the fastest and the slowest span in it
+
+
+def dense_ewm(df: DataFrame, spans: dict, key: str = "stock_code", order: str = "trade_date") -> DataFrame:
+    """``ewm`` for columns without NULLs (one raises an error), all outputs over the same two sorts.
+
+    Without gaps every step weakens the past by the same factor, so blocks of rows are cut by position alone and are
+    the same for all columns. A block is as long as the fastest span allows for a running sum that does not overflow;
+    the slowest one in it still loses all weight (exp(-40)) over a block, so only the end of the block before
+    enters. Spans too far apart for that (beyond about 12 times) get blocks of their own.
+    """
+    jobs = [(c, name, float(span)) for c, outs in spans.items() for name, span in outs]
+    if any(span <= 1 for *_, span in jobs):
+        raise ValueError("a span must be above 1")
+    rate = lambda span: -math.log(1.0 - 2.0 / (span + 1.0))
+    classes: list[list] = []
+    for job in sorted(jobs, key=lambda j: j[2]):
+        if not classes or rate(job[2]) * DENSE_REACH < rate(classes[-1][0][2]) * LEAST_REACH:
+            classes.append([])
+        classes[-1].append(job)
+    w = Window.partitionBy(key).orderBy(order)
+    value = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} holds a NULL")).cast("double")).otherwise(F.col(c))
+    out = df.withColumns({"_pos": F.row_number().over(w) - 1, **{f"_x0_{c}": F.first(c).over(w) for c in spans}})
+    for k, members in enumerate(classes):
+        rows = max(1, int(DENSE_REACH / rate(members[0][2])))
+        block, place = f"_block_{k}", F.col("_pos") % rows
+        out = out.withColumn(block, F.floor(F.col("_pos") / rows))
+        here = Window.partitionBy(key, block).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        earlier = Window.partitionBy(key).orderBy(block, order).rowsBetween(Window.unboundedPreceding, -1)
+        sums, ends, result = {}, {}, {}
+        for c, n, span in members:
+            alpha, r = 2.0 / (span + 1.0), rate(span)
+            sums[f"_s_{n}"] = F.exp(-r * place) * F.sum(alpha * value(c) * F.exp(r * place)).over(here)
+            end = F.when(place == rows - 1, F.col(f"_s_{n}") + F.exp(-r * (place + 1)) * F.col(f"_x0_{c}"))
+            ends[f"_in_{n}"] = F.last(end, ignorenulls=True).over(earlier)
+            result[n] = F.col(f"_s_{n}") + F.exp(-r * (place + 1)) * F.coalesce(f"_in_{n}", f"_x0_{c}")
+        out = out.withColumns(sums).withColumns(ends).withColumns(result)
+    return out.select(*df.columns, *[n for _, n, _ in jobs])
+
+
 def macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, key="stock_code", order="trade_date") -> DataFrame:
     """+macd: difference of two means relative to the price."""
     e = ewm(df, {price: [("_fast", fast), ("_slow", slow)]}, key, order)

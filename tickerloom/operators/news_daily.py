@@ -4,12 +4,12 @@ Inputs are items already aligned to a trade day. Every aggregate is partial-aggr
 shuffles, so a stock or day with most of the news costs no more than its share of rows.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tickerloom.functions import defaults
 from tickerloom.functions.maths import ratio, safe_float
 from tickerloom.functions.timing import decay_dataset, trade_close_ts
-from tickerloom.operators.ewm import ewm
+from tickerloom.operators.ewm import dense_ewm
 
 KEYS = ["stock_code", "trade_date"]
 
@@ -110,7 +110,7 @@ def event_shock_flag(daily: DataFrame, min_count=8, min_sent=0.45, min_abs=1.2)
 
 
 def news_ewm(daily: DataFrame) -> DataFrame:
-    return ewm(
+    return dense_ewm(
         daily.withColumn("_cnt", F.col("news_count").cast("double")),
         {
             "weighted_sentiment": [("sentiment_ewm_3d", 3), ("sentiment_ewm_5d", 5)],
@@ -121,13 +121,65 @@ def news_ewm(daily: DataFrame) -> DataFrame:
     ).drop("_cnt")
 
 
+def daily_stats(aligned: DataFrame, sectors: dict, events: dict, hour: int = 15, minute: int = 0) -> DataFrame:
+    """Base, source, sector and event statistics per (stock_code, trade_date) from one pass over the items.
+
+    An item becomes one row for itself, one for its source and one per sector; all of them are summed by
+    (stock, day, facet), map-side first, and what is left, a row per source and sector of a day, is brought together
+    by day. Items are aligned and read once whatever the number of facets.
+    """
+    s, i, w = F.col("_s"), F.col("_i"), F.col("_w")
+    name = F.trim(F.coalesce("source", F.lit("")))
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    facet = lambda kind, label, v: F.struct(F.lit(kind).alias("kind"), label.alias("name"), v.alias("v"))
+    zero = F.lit(0.0)
+    weighed = F.transform(F.map_entries("affected_sectors"), lambda e: facet(2, e["key"].cast("string"), safe_float(e["value"]) * s * i * w))
+    own = F.array(facet(0, F.lit(""), zero))
+    named = F.when(name != "", F.array(facet(1, name, zero))).otherwise(F.slice(own, 1, 0))
+    facets = F.concat(own, named, F.coalesce(weighed, F.slice(own, 1, 0)))
+    flags = {f"_e_{n}": text.contains(term).cast("int") for term, n in events.items()}
+    rows = _scored(aligned, hour, minute).select(*KEYS, "_s", "_i", "_w", *[e.alias(n) for n, e in flags.items()], F.explode(facets).alias("f"))
+    itself = lambda v: F.sum(F.when(F.col("f.kind") == 0, v))
+    parts = {
+        "_n": F.count("*"),
+        "_v": F.sum("f.v"),
+        "_ss": itself(s),
+        "_sw": itself(s * w),
+        "_ws": itself(w),
+        "_is": itself(i),
+        "_im": F.max(F.when(F.col("f.kind") == 0, i)),
+        "_up": itself((s > 0.2).cast("int")),
+        "_down": itself((s < -0.2).cast("int")),
+        "_abs": itself(F.abs(s)),
+        **{n: itself(F.col(n)) for n in flags},
+    }
+    by_facet = rows.groupBy(*KEYS, F.col("f.kind").alias("kind"), F.col("f.name").alias("name")).agg(*[v.alias(n) for n, v in parts.items()])
+    kind, n = F.col("kind"), F.col("_n")
+    share = n / F.sum("_n").over(Window.partitionBy(*KEYS, "kind"))
+    by_facet = by_facet.withColumn("_p", F.when(kind == 1, share * F.log(share + 1e-12)))
+    base = lambda c: F.sum(F.when(kind == 0, F.col(c)))
+    count, sources = base("_n"), F.count_if(kind == 1)
+    return by_facet.groupBy(*KEYS).agg(
+        count.alias("news_count"),
+        (base("_ss") / count).alias("avg_sentiment"),
+        F.when(base("_ws") > 1e-8, base("_sw") / base("_ws")).otherwise(base("_ss") / count).alias("weighted_sentiment"),
+        (base("_is") / count).alias("avg_importance"),
+        F.max("_im").alias("max_importance"),
+        (base("_up") / count).alias("positive_ratio"),
+        (base("_down") / count).alias("negative_ratio"),
+        base("_abs").alias("news_sentiment_abs_sum"),
+        *[base(f"_e_{e}").cast("double").alias(f"event_{e}_count") for e in events.values()],
+        sources.cast("double").alias("source_count"),
+        (-F.sum("_p") / F.when(sources > 1, F.log(sources)).otherwise(1.0)).alias("source_entropy"),
+        *[F.sum(F.when((kind == 2) & (F.col("name") == k), F.col("_v")).otherwise(0.0)).alias(f"sector_{slug}") for k, slug in sectors.items()],
+        F.sum(F.when(kind == 2, F.col("_v"))).alias("news_impact_total"),
+        F.sum(F.when(kind == 2, F.abs("_v"))).alias("news_impact_abs_total"),
+    )
+
+
 def news_daily_features(aligned: DataFrame, calendar: DataFrame, sectors: dict = defaults.SECTOR_SLUGS, events: dict = defaults.EVENT_SLUGS, hour: int = 15, minute: int = 0) -> DataFrame:
     """All daily news features, one row per calendar day."""
-    base = _scored(aligned, hour, minute).groupBy(*KEYS).agg(*_base_aggs(), *_event_aggs(events))
-    stats = base.join(source_stats(aligned), KEYS, "left").join(
-        sector_scores(aligned, sectors, hour, minute), KEYS, "left"
-    )
-    return news_ewm(event_shock_flag(_on_calendar(calendar, stats)))
+    return news_ewm(event_shock_flag(_on_calendar(calendar, daily_stats(aligned, sectors, events, hour, minute))))
 
 
 def static_daily(calendar: DataFrame, company: DataFrame, relevance: DataFrame, sectors: dict = defaults.STATIC_SECTOR_SLUGS) -> DataFrame:

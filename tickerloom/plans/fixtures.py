@@ -68,7 +68,7 @@ cte(
 
 def news(spark: SparkSession, sf: str) -> DataFrame:
     """Scored items from events, on January 2001."""
-    n = table(spark, sf, "supplier").count()
+    n = table(spark, sf, "supplier").agg(F.count("*")).scalar()
     k = F.get_json_object("props", "$.k").cast("int")
     v = (F.col("value") - 50) / 50
     return table(spark, sf, "events").select(
@@ -120,8 +120,8 @@ def calendar(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def aligned(spark: SparkSession, sf: str) -> DataFrame:
-    return align_news(news(spark, sf), calendar(spark, sf))
+def aligned(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    return align_news(news(spark, sf), calendar(spark, sf) if days is None else days)
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,9 +162,9 @@ def stock_dim(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def company(spark: SparkSession, sf: str) -> DataFrame:
+def company(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
     concepts = edges(spark, sf).groupBy("stock_code").agg(F.sort_array(F.collect_list("sector")).alias("concepts"))
-    listed = calendar(spark, sf).groupBy("stock_code").agg(F.min("trade_date").alias("listing_date"))
+    listed = (calendar(spark, sf) if days is None else days).groupBy("stock_code").agg(F.min("trade_date").alias("listing_date"))
     return (
         stock_dim(spark, sf)
         .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

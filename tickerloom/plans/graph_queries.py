@@ -171,9 +171,10 @@ cte(
 STATIC_COLS = ["static_concept_count", "static_listing_days", *REL.split(), *[f"stock_sector_{v}" for v in STATIC.values()]]
 
 
-def static(spark, sf):
+def static(spark, sf, days=None):
+    days = fx.calendar(spark, sf) if days is None else days
     rel = graph.relevance_summary(fx.edges(spark, sf), fx.stock_dim(spark, sf).select("stock_code"))
-    return nd.static_daily(fx.calendar(spark, sf), fx.company(spark, sf), rel, STATIC)
+    return nd.static_daily(days, fx.company(spark, sf, days), rel, STATIC)
 
 
 @query("b26_static_daily", f"SELECT stock_code, trade_date, {', '.join(STATIC_COLS)} FROM st_daily", d=" ".join(STATIC_COLS), t="trade_date")

@@ -17,7 +17,10 @@ TECH = defaults.TECHNICAL_COLUMNS
 
 
 def raw_panel(spark, sf):
-    return panel.assemble_panel(technical.technical_panel(fx.market(spark, sf)), daily(spark, sf), static(spark, sf))
+    """Bars are written once; the calendar of every part is read from them."""
+    bars = materialize(fx.market(spark, sf), "bars")
+    days = bars.select("stock_code", "trade_date")
+    return panel.assemble_panel(technical.technical_panel(bars), daily(spark, sf, days), static(spark, sf, days))
 
 
 def model_df(spark, sf):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions import timing
 from tickerloom.functions.maths import json_list_decode, set_ops
 from tickerloom.operators import calendar as cal, impact, news as nw, news_daily as nd, panel
+from tickerloom.operators.ordered import materialize
 from tickerloom.plans import fixtures as fx
 from tickerloom.plans.market_queries import fold
 from tickerloom.plans.registry import cte, query
@@ -121,8 +122,10 @@ cte(
 )
 
 
-def daily(spark, sf):
-    return nd.news_daily_features(fx.aligned(spark, sf), fx.calendar(spark, sf), fx.SECTORS, fx.EVENTS)
+def daily(spark, sf, days=None):
+    """All daily features; the calendar is written once, for the alignment and for the days without news."""
+    days = materialize(fx.calendar(spark, sf), "calendar") if days is None else days
+    return nd.news_daily_features(fx.aligned(spark, sf, days), days, fx.SECTORS, fx.EVENTS)
 
 
 ALL_DAILY = BASE + ["source_count", "source_entropy"] + SECTOR_COLS + EVENT_COLS + IMPACT + ["event_shock_flag"] + EWM
