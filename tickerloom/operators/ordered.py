@@ -1,8 +1,9 @@
 """Running aggregates over long ordered groups without a single-task window.
 
-Rows are cut into buckets by quantiles of the ordering column. Inside a bucket an ordinary
-window runs; between buckets only one small row per (group, bucket) is carried. A group that
-holds most of the data is thus spread over many tasks.
+Rows are range-partitioned on the ordering columns and a unique key, sorted there, numbered and written once. Between
+partitions only one small row per (group, partition) is carried. A group that holds most of the data, or a value that
+all rows share, is thus spread over many tasks; the number of partitions is that of the session's shuffles, which
+adaptive execution brings down for few rows.
 """
 
 import uuid
@@ -62,25 +63,38 @@ def with_bucket(df: DataFrame, order: str, by=(), bits: int = 8, cuts_from: Data
     return cut.withColumn("_bucket", F.coalesce(place, F.lit(0))).drop("_cuts")
 
 
-def running_total(df: DataFrame, order: str, cols, by=(), bits: int = 8) -> DataFrame:
+PLACE_BITS = 33  # of a generated id: the row's place in its partition; the bits above name the partition
+
+
+def ranged(df: DataFrame, keys, name: str, bits: int | None = None) -> DataFrame:
+    """+_part, +_at: rows in the order of ``keys`` as (partition, place within it), written once and read back.
+
+    ``bits`` asks for 2**bits partitions in place of the session's number.
+    """
+    rows = df.repartitionByRange(*([] if bits is None else [2**bits]), *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    part, at = F.shiftrightunsigned("_id", PLACE_BITS), F.col("_id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return materialize(rows.withColumns({"_part": part, "_at": at}).drop("_id"), name)
+
+
+def running_total(df: DataFrame, order: str, cols, by=(), bits: int | None = None) -> DataFrame:
     """+cum_<col>, +all_<col>: running sum in ascending ``order`` (unique per group) and group total."""
     by, cols = list(by), list(cols)
-    parts = with_bucket(df, order, by, bits)
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged(df, [*by, order], "running", bits)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        parts.groupBy(*by, "_bucket")
+        parts.groupBy(*by, "_part")
         .agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
         .select(
             *[F.col(k).alias(f"_g_{k}") for k in by],
-            F.col("_bucket").alias("_cb"),
+            F.col("_part").alias("_cp"),
             *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols],
             *[F.sum(f"_t_{c}").over(Window.partitionBy(*by)).alias(f"all_{c}") for c in cols],
         )
     )
-    cond = F.col("_bucket") == F.col("_cb")
+    cond = F.col("_part") == F.col("_cp")
     for k in by:
         cond = cond & parts[k].eqNullSafe(F.col(f"_g_{k}"))
-    here = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(
+    here = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     out = parts.join(carry, cond)
@@ -91,16 +105,17 @@ def running_total(df: DataFrame, order: str, cols, by=(), bits: int = 8) -> Data
     )
 
 
-def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", bits: int = 8) -> DataFrame:
-    """+rank from 1 by descending score, then ``tie``: ranks inside buckets plus bucket offsets."""
-    parts = with_bucket(df.withColumn("_down", -F.col(score).cast("double")), "_down", bits=bits)
-    before = Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("_bucket").agg(F.count("*").alias("_n")).select(
-        F.col("_bucket").alias("_cb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", bits: int | None = None) -> DataFrame:
+    """+rank from 1 by descending score, then ``tie``: places inside partitions plus the rows of the partitions before.
+
+    One range shuffle on (score, tie), so equal scores are spread like any others; NULL scores rank last.
+    """
+    parts = ranged(df, [F.col(score).desc_nulls_last(), F.col(tie).asc()], "ranked", bits)
+    before = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = parts.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        F.col("_part").alias("_cp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
     )
-    here = Window.partitionBy("_bucket").orderBy("_down", tie)
-    out = parts.join(offsets, F.col("_bucket") == F.col("_cb"))
-    return out.select(*df.columns, (F.row_number().over(here) + F.col("_off")).alias(name))
+    return parts.join(offsets, F.col("_part") == F.col("_cp")).select(*df.columns, (F.col("_off") + F.col("_at") + 1).alias(name))
 
 
 def exact_median(df: DataFrame, cols) -> DataFrame:
