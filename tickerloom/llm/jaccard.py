@@ -17,14 +17,14 @@ n - ceil(t n) + 1 of each (prefix filter), so
 Defined cases: a null or wordless text has an empty set and links with nothing; a text of fewer words
 than a shingle is one shingle of all its words; equal texts link; ties need no rule, as only sizes of
 sets decide; rows without an id take part but cannot name a component unless no member has an id (then null);
-an empty table gives an empty table; extra columns are not read.
+rows of equal ids are documents of their own; an empty table gives an empty table; extra columns are not read.
 """
 
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickerloom.llm.common import bounded_batches, components, stored, words
 
@@ -103,7 +103,7 @@ def possible(n1: int, s1: bytes, n2: int, s2: bytes, percent: int = PERCENT) ->
 
 
 def distinct_sets(batches, width: int):
-    """(id, content hash, shingles) per row of (id, text) batches; later copies within a task get no set."""
+    """(id, content hash, shingles) per row of (id, text, ...) batches; later copies within a task get no set."""
     known, seen = WordHash(), set()
     for batch in batches:
         out = []
@@ -116,22 +116,31 @@ def distinct_sets(batches, width: int):
 
 
 def class_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(id, c1, c2, n, sig) per document; n and sig are null for later copies within a task."""
+    """(id, row, c1, c2, n, sig) per document of (id, text, row); n and sig are null for later copies within a task."""
 
     def run(batches):
-        for rows in distinct_sets(batches, width):
+        kept = []
+        for rows in distinct_sets(_noted(batches, kept), width):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
+                    kept.pop(),
                     pa.array([r[1][0] for r in rows], pa.int64()),
                     pa.array([r[1][1] for r in rows], pa.int64()),
                     pa.array([None if r[2] is None else len(r[2]) for r in rows], pa.int64()),
                     pa.array([None if r[2] is None else bitmap(r[2]) for r in rows], pa.binary()),
                 ],
-                ["id", "c1", "c2", "n", "sig"],
+                ["id", "row", "c1", "c2", "n", "sig"],
             )
 
-    return docs.mapInArrow(run, "id long, c1 long, c2 long, n long, sig binary")
+    return docs.mapInArrow(run, "id long, row binary, c1 long, c2 long, n long, sig binary")
+
+
+def _noted(batches, kept: list):
+    """The batches, the third column of the one in work laid aside."""
+    for b in batches:
+        kept.append(b.column(2))
+        yield b
 
 
 def cell_bits(total: int) -> int:
@@ -405,12 +414,18 @@ def linked_in_bundles(sets: DataFrame, percent: int) -> DataFrame:
     return sets.repartition("bundle", "i", "j").sortWithinPartitions("bundle", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
+def row_key(id_col: str, text_col: str) -> Column:
+    """Names a row by its id and whole text; rows equal in both are the same to the join."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit("")))))
+
+
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, row, size, label, component) of every row: the size of its set, its component by hash and by smallest id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
+    docs = keyed.drop("row")
     bounded_batches(spark)
-    rows = stored(class_rows(docs, width), "jac-rows")
+    rows = stored(class_rows(keyed, width), "jac-rows")
     classes = stored(rows.groupBy("c1").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig")), "jac-classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     hot = frequent_cells(docs, width, cell_bits(total))
@@ -432,11 +447,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links, "jac-links")
     known = classes.join(labels, classes["c1"] == labels["node"], "left").select("c1", "rep", "n", F.coalesce("label", "c1").alias("label"))
     least = known.groupBy("label").agg(F.min("rep").alias("component"))
-    final = known.join(least, "label").select("c1", F.col("n").alias("size"), "component")
-    out = rows.select("id", "c1").join(final, "c1")
-    return out.select(
-        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id")
-    )
+    final = known.join(least, "label").select("c1", F.col("n").alias("size"), "label", "component")
+    return rows.select("id", "row", "c1").join(final, "c1").select("id", "row", "size", "label", "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    out = labelled_rows(docs, id_col, text_col, width, percent)
+    component = F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component"))
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
 def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
@@ -456,9 +475,15 @@ def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     return docs.join(reps, docs["id"].eqNullSafe(reps["rep"])).select("c1", "text").mapInArrow(run, "c1 long, h binary")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: the one with the smallest id. Rows without an id stay, a repeated id stays once."""
-    keep = near_duplicates(docs, id_col, text_col, **kw).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_jac_id")).distinct()
-    keep = stored(keep, "jac-keep")
-    chosen = docs.join(keep, F.col(id_col) == F.col("_jac_id"), "left_semi").dropDuplicates([id_col])
-    return chosen.unionByName(docs.filter(F.col(id_col).isNull()))
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: the one with the smallest id, rows without an id last, then by key.
+
+    Rows are told apart by id and text, so different texts of one id, or without an id, stand on their own; of rows
+    equal in both one stays. Rows without a word link with nothing and all stay.
+    """
+    wordless = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = labelled_rows(docs.filter(~wordless), id_col, text_col, width, percent)
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("r"))
+    keep = stored(first.select(F.col("r.row").alias("_jac_row")), "jac-keep")
+    chosen = docs.filter(~wordless).withColumn("_jac_row", row_key(id_col, text_col)).join(keep, "_jac_row", "left_semi")
+    return chosen.dropDuplicates(["_jac_row"]).select(*docs.columns).unionByName(docs.filter(wordless))

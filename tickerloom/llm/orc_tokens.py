@@ -1,10 +1,10 @@
 """Token ids as ORC files: ascending ids of documents, run-length encoded integers, row indexes, Bloom filters.
 
 Documents are cut into ranges of their ids and sorted inside each (no global sort, no group); a range is
-encoded and becomes one file. Spark's ORC writer keeps the ids as run-length encoded integers in stripes,
+encoded by one task and becomes one file, or several where the session limits a file's rows. Spark's ORC writer keeps the ids as run-length encoded integers in stripes,
 a row index every ``stride`` rows and a Bloom filter on the id, so readers take stripes in parallel and skip by
-metadata. A row also holds how many ids its file has before it, so a document's global start is that plus
-the sizes of the files before its own: one number per file.
+metadata. A row also holds its task's number and how many ids the task has before it, so a document's global start is
+that plus the sizes of the tasks before its own: one number per task.
 
 Equal words have equal ids: a worker remembers words between blanks within a bound and gives only new ones to
 the tokenizer. That is exact for tokenizers that lower the case and whose pieces span neither a blank nor the
@@ -117,13 +117,15 @@ def encoder(path: str, end_id: int, chunks: bool) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", chunks: bool = True, stride: int = STRIDE) -> None:
-    """One ORC file per range of ids under ``out``: (doc_id, before, ids)."""
+    """ORC files, a range of ids each, under ``out``: (doc_id, before, ids, task)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        e, before = encoder(path, end_id, chunks), 0
+        from pyspark import TaskContext
+
+        e, before, task = encoder(path, end_id, chunks), 0, TaskContext.get().partitionId()  # ranges ascend with it
         for b in batches:
             texts = b.column(1).to_pylist()
             for at in range(0, len(texts), 200):
@@ -132,12 +134,13 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
                 ends = np.concatenate([[0], np.cumsum(size)])
                 flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(got))])
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 200), pa.array(before + ends[:-1]), ids], ["doc_id", "before", "ids"])
+                tasks = pa.array(np.full(len(got), task, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 200), pa.array(before + ends[:-1]), ids, tasks], ["doc_id", "before", "ids", "task"])
                 before += int(ends[-1])
 
     sorted_docs = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
     (
-        sorted_docs.mapInArrow(run, f"doc_id {kind}, before long, ids array<int>")
+        sorted_docs.mapInArrow(run, f"doc_id {kind}, before long, ids array<int>, task int")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", str(FPP))
         .option("orc.create.index", "true")
@@ -148,12 +151,12 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
 
 
 def read_rows(spark: SparkSession, out: str) -> DataFrame:
-    """(doc_id, before, ids, file): filters on doc_id reach the stripes."""
-    return spark.read.orc(out).select("doc_id", "before", "ids", F.col("_metadata.file_name").alias("file"))
+    """(doc_id, before, ids, task): filters on doc_id reach the stripes."""
+    return spark.read.orc(out).select("doc_id", "before", "ids", "task")
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the ids read. The ids stay in their task; only numbers meet the files' sums."""
+    """(doc_id, start, n_tokens, ids_crc32) from the ids read. The ids stay in their task; only numbers meet the tasks' sums."""
 
     def run(batches):
         for b in batches:
@@ -161,15 +164,15 @@ def token_digest(tokens: DataFrame) -> DataFrame:
             flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
             crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(3), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "before", "file", "n_tokens", "ids_crc32"]
+                [b.column(0), b.column(1), b.column(3), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "before", "task", "n_tokens", "ids_crc32"]
             )
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    rows = stored(tokens.mapInArrow(run, f"doc_id {kind}, before long, file string, n_tokens long, ids_crc32 long"), "orc-digest")
-    size = rows.groupBy("file").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n"))
-    earlier = Window.partitionBy().orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    base = size.select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return rows.join(base, F.col("file") == F.col("_file")).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    rows = stored(tokens.mapInArrow(run, f"doc_id {kind}, before long, task int, n_tokens long, ids_crc32 long"), "orc-digest")
+    size = rows.groupBy("task").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n"))
+    earlier = Window.partitionBy().orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    base = size.select(F.col("task").alias("_task"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    return rows.join(base, F.col("task") == F.col("_task")).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
