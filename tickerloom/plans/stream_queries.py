@@ -39,15 +39,35 @@ BUCKETS = """SELECT lpad(CAST(user_id % 10 AS VARCHAR), 6, '0') AS stock_code,
     sum(abs(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (value - 50) / 50)))) AS news_sentiment_abs_sum FROM events GROUP BY 1, 2"""
 
 
+BACK, AHEAD, SPAN = "60 days", "1 day", "61 days"
+
+
+def recent(spark, sf):
+    """Items of the two months before the evaluation time; the split keeps any other from moving the watermark."""
+    return st.split_by_age(stream(spark, sf), fx.as_of(), BACK, AHEAD)[0]
+
+
 @query("j3_stream_daily_news", BUCKETS, d="avg_sentiment news_sentiment_abs_sum", i="news_count")
 def j3(spark, sf):
-    return run_available(st.stream_daily_news(stream(spark, sf)), "update", "j3", ["stock_code", "close_ts"])
+    return run_available(st.stream_daily_news(recent(spark, sf), SPAN), "update", "j3", ["stock_code", "close_ts"])
+
+
+@query(
+    "j3_stream_set_aside",
+    """SELECT reason, count(*) AS n, min(news_id) AS first_id FROM (SELECT news_id, CASE WHEN publish_time > TIMESTAMP '2001-01-20 12:00:00' + INTERVAL 2 DAY THEN 'future'
+    WHEN publish_time < TIMESTAMP '2001-01-20 12:00:00' - INTERVAL 9 DAY THEN 'stale' END AS reason FROM fx_news) WHERE reason IS NOT NULL GROUP BY 1""",
+    i="n",
+)
+def j3_aside(spark, sf):
+    """What a stream evaluated in the middle of the month sets aside, counted by reason."""
+    aside = st.split_by_age(stream(spark, sf), F.lit("2001-01-20 12:00:00").cast("timestamp"), "9 days", "2 days")[1]
+    return run_available(aside, "append", "j3-aside").groupBy("reason").agg(F.count("*").alias("n"), F.min("news_id").alias("first_id"))
 
 
 @query(
     "j4_stream_effective_day",
     """SELECT news_id, trade_date FROM (SELECT news_id, lpad(CAST(user_id % 10 AS VARCHAR), 6, '0') AS s, publish_time FROM fx_news JOIN events ON event_id = arrival) n
-    ASOF JOIN fx_cal c ON n.s = c.stock_code AND n.publish_time <= c.close_ts""",
+    ASOF LEFT JOIN fx_cal c ON n.s = c.stock_code AND n.publish_time <= c.close_ts""",
     t="trade_date",
 )
 def j4(spark, sf):
@@ -57,4 +77,4 @@ def j4(spark, sf):
 
 @query("j5_stream_shock_alert", f"SELECT * FROM ({BUCKETS}) WHERE news_count >= 8 OR abs(avg_sentiment) >= 0.45", d="avg_sentiment news_sentiment_abs_sum", i="news_count")
 def j5(spark, sf):
-    return st.shock_rows(run_available(st.stream_shock_alert(stream(spark, sf)), "update", "j5", ["stock_code", "close_ts"]))
+    return st.shock_rows(run_available(st.stream_shock_alert(recent(spark, sf), SPAN), "update", "j5", ["stock_code", "close_ts"]))

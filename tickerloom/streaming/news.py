@@ -26,17 +26,34 @@ def stream_freshness(sdf: DataFrame, as_of: Column | None = None, max_age_hours=
     return sdf.filter(keep)
 
 
+def split_by_age(sdf: DataFrame, as_of: Column | None = None, back: str = "30 days", ahead: str = "1 day") -> tuple[DataFrame, DataFrame]:
+    """(kept, aside): items published within ``back`` before and ``ahead`` after ``as_of``, and all others with a reason.
+
+    ``as_of`` is the time of the batch, or a column such as the time of arrival. Behind this split no kept item is
+    ever late for a watermark of ``back`` plus ``ahead``, as long as ``as_of`` does not run backwards, and one wrong date can
+    neither push the watermark ahead nor hold state open. Items set aside (``future``, ``stale``, ``no time``) are a stream
+    of their own, to be written and counted.
+    """
+    now = F.current_timestamp() if as_of is None else as_of
+    at = F.col("publish_time")
+    reason = F.when(at.isNull(), "no time").when(at > now + F.expr(f"INTERVAL {ahead}"), "future").when(at < now - F.expr(f"INTERVAL {back}"), "stale")
+    marked = sdf.withColumn("reason", reason)
+    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
+
+
 def stream_daily_news(sdf: DataFrame, watermark: str = "3650 days", keys=("stock_code",)) -> DataFrame:
     """Counts and means per stock and day bucket (previous 15:00, 15:00].
 
-    ``watermark`` is how late an item may come and still count; the default suits a backlog whose files are
-    in no order of time. Windows are closed on the left, so event time is moved by a microsecond to close them on the
-    right.
+    Windows are closed on the left, so event time is moved by a microsecond to close them on the right, and the
+    watermark stands on the moved time: the state of a bucket goes once the latest item is ``watermark`` past its end.
+    An item for such a bucket comes too late and is not counted; ``split_by_age`` before this keeps items from being late, and
+    the watermark from being moved by a wrong date.
     """
     moved = F.col("publish_time") - F.expr("INTERVAL 0.000001 SECOND")
     return (
-        sdf.withWatermark("publish_time", watermark)
-        .groupBy(*keys, F.window(moved, "1 day", "1 day", "15 hours").alias("w"))
+        sdf.withColumn("_moved", moved)
+        .withWatermark("_moved", watermark)
+        .groupBy(*keys, F.window("_moved", "1 day", "1 day", "15 hours").alias("w"))
         .agg(
             F.count("*").alias("news_count"),
             F.avg("sentiment").alias("avg_sentiment"),
@@ -46,24 +63,23 @@ def stream_daily_news(sdf: DataFrame, watermark: str = "3650 days", keys=("stock
     )
 
 
-def effective_days(calendar: DataFrame, lead_days: int = 3650) -> DataFrame:
-    """(stock_code, day, trade_date) for every day from ``lead_days`` before a stock's first trade day to its last: the static side.
-
-    The range comes from the calendar; a day after the last trade day has no trade day to move to.
-    """
+def effective_days(calendar: DataFrame) -> DataFrame:
+    """(stock_code, day, trade_date, first_day) for every day from a stock's first trade day to its last: the static side."""
     from tickerloom.operators.calendar import _roll
 
     ends = calendar.groupBy("stock_code").agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"))
-    days = ends.select("stock_code", F.explode(F.sequence(F.date_sub(F.col("lo").cast("date"), lead_days), F.col("hi").cast("date"))).alias("_day"))
+    days = ends.select("stock_code", F.explode(F.sequence(F.col("lo").cast("date"), F.col("hi").cast("date"))).alias("_day"))
     steps = _roll(days, calendar, "next").filter(F.col("trade_date").isNotNull())
-    return steps.select("stock_code", F.col("_day").alias("day"), "trade_date")
+    return steps.join(ends.select("stock_code", F.col("lo").alias("first_day")), "stock_code").select("stock_code", F.col("_day").alias("day"), "trade_date", "first_day")
 
 
 def stream_effective_day(sdf: DataFrame, days: DataFrame, hour: int = 15, minute: int = 0) -> DataFrame:
-    """+trade_date by a stream-static equi-join on (stock, day); late news moves to the next day."""
-    return sdf.withColumn("day", effective_day(F.col("publish_time"), hour, minute)).join(
-        days, ["stock_code", "day"]
-    ).drop("day")
+    """+trade_date by stream-static equi-joins; late news moves to the next day, items before a stock's first trade day move
+    to that day. Items after its last trade day, without a time or of an unknown stock stay, with a NULL trade_date."""
+    first = days.groupBy("stock_code").agg(F.min("first_day").alias("_first"))
+    dated = sdf.join(first, "stock_code", "left").withColumn("day", F.greatest(effective_day(F.col("publish_time"), hour, minute), F.col("_first")))
+    dated = dated.withColumn("day", F.when(F.col("publish_time").isNotNull(), F.col("day")))
+    return dated.drop("_first").join(days.drop("first_day"), ["stock_code", "day"], "left").drop("day")
 
 
 def stream_shock_alert(sdf: DataFrame, watermark: str = "3650 days") -> DataFrame:

@@ -5,11 +5,12 @@ from pyspark.sql import DataFrame, functions as F
 from tickerloom.operators.ordered import scratch_path
 
 
-def run_available(sdf: DataFrame, mode: str = "append", name: str = "stream", keys=()) -> DataFrame:
+def run_available(sdf: DataFrame, mode: str = "append", name: str = "stream", keys=(), counts: dict | None = None) -> DataFrame:
     """Process what is available into the shared folder and read it back.
 
     append goes to the transactional Parquet sink. update writes one folder per micro-batch, so a retried
-    batch repeats its output; of updated rows the latest per ``keys`` is kept.
+    batch repeats its output; of updated rows the latest per ``keys`` is kept. A stream without input gives an empty
+    table. ``counts``, if given, receives how many state rows were removed and how many rows came too late.
     """
     spark = sdf.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
@@ -19,6 +20,12 @@ def run_available(sdf: DataFrame, mode: str = "append", name: str = "stream", ke
     else:
         query = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")).start()
     query.awaitTermination()
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    if counts is not None:
+        state = [s for p in query.recentProgress for s in p["stateOperators"]]
+        counts.update(removed=sum(s["numRowsRemoved"] for s in state), late=sum(s["numRowsDroppedByWatermark"] for s in state))
+    if not progress:
+        return spark.createDataFrame([], sdf.schema)
     table = spark.read.parquet(out)
     if mode == "update":
         rest = [c for c in sdf.columns if c not in keys]
