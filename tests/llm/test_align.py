@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tickerloom.llm import align
@@ -112,7 +113,7 @@ def test_steps():
         a, b = (sorted({*R.sample(range(1, total + 1), R.randint(1, total)), total}) for _ in range(2))
         got, want = [], sorted(set(a) & set(b))
         i0 = j0 = 0
-        for i, i2, j, j2, single in align.steps(a, b):
+        for i, i2, j, j2, single in align.steps(np.array(a), np.array(b)):
             assert (i, j) == (i0, j0)
             i0, j0 = i2, j2
             got += a[i:i2] if single else [a[i2 - 1]]

@@ -31,6 +31,7 @@ from tickerloom.llm.common import bounded_batches, stored
 REMEMBERED = 500_000  # chunks, pair texts and groups that a worker remembers, each
 JOINED = 2000  # new chunks that a tokenizer gets in one call
 PROBE = 8  # places of the first comparison of a stretch
+COPIES = 4000  # whole texts whose digest a worker remembers
 SPREAD = 32  # ways that rows of equal groups are dealt to meet their result
 LONGEST = 48  # longer chunks are not remembered
 FREQUENT = 1 << 20  # most pairs in the broadcast
@@ -45,40 +46,43 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def steps(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int, bool]]:
+def steps(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
     """(i, i2, j, j2, single): stretches of one-to-one groups (single), and irregular groups, in order.
 
-    Both lists ascend and end alike.
+    Both arrays ascend and end alike. Slices are compared as bytes, 8 to a place.
     """
-    i, shift, n, out = 0, 0, len(ends_a), []
+    raw_a, raw_b = (np.ascontiguousarray(e, "<i8").tobytes() for e in (ends_a, ends_b))
+    at_a, at_b = memoryview(raw_a).cast("q"), memoryview(raw_b).cast("q")
+    i, shift, n, out, first = 0, 0, len(at_a), [], 8 * PROBE
     while i < n:
         j = i + shift
-        x, y = ends_a[i], ends_b[j]
+        x, y = at_a[i], at_b[j]
         if x == y:
-            p, q, step = i + 1, j + 1, PROBE
-            while (a := ends_a[p : p + step]) and a == ends_b[q : q + step]:
+            p, q, step = 8 * i + 8, 8 * j + 8, first
+            while (a := raw_a[p : p + step]) and a == raw_b[q : q + step]:
                 p += len(a)
                 q += len(a)
                 step *= 2
-            while step > 1:
+            while step > 8:
                 step //= 2
-                if (a := ends_a[p : p + step]) and a == ends_b[q : q + step]:
+                if (a := raw_a[p : p + step]) and a == raw_b[q : q + step]:
                     p += len(a)
                     q += len(a)
-            out.append((i, p, j, q, True))
+            p //= 8
+            out.append((i, p, j, q // 8, True))
             i = p
         else:
             p, q = i, j
             while x != y:
                 if x < y:
                     p += 1
-                    x = ends_a[p]
+                    x = at_a[p]
                 else:
                     q += 1
-                    y = ends_b[q]
-            i, p, j, q = p + 1, i, q + 1, j
-            out.append((p, i, q, j, False))
-            shift = j - i
+                    y = at_b[q]
+            out.append((i, p + 1, j, q + 1, False))
+            i = p + 1
+            shift = q - p
     return out
 
 
@@ -111,11 +115,11 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.n_b = len(pieces)
-        self.known_a: dict[str, bytes] = {}
-        self.known_b: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.bad: set[str] = set()  # chunks whose bytes a tokenizer does not give back
+        self.done: dict[bytes, tuple] = {}  # digests of whole texts, for copies
         self.pair_text = PairText(self.n_b)
-        self.groups: dict[tuple, tuple[str, list[int]]] = {}
+        self.groups: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
     def joined(self, chunks: list[str]) -> bool:
         """Ids of chunks that follow each other in one text, cut at the chunks' ends; False if that cannot be told."""
@@ -124,7 +128,8 @@ class Aligner:
         stops = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in chunks])
         ids_a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
         ids_b = self.b.encode(text[1:], num_threads=1)
-        for ids, table, sizes, known in ((ids_a, self.bytes_a, self.size_a, self.known_a), (ids_b, self.bytes_b, self.size_b, self.known_b)):
+        parts = []
+        for ids, table, sizes in ((ids_a, self.bytes_a, self.size_a), (ids_b, self.bytes_b, self.size_b)):
             if b"".join([table[i] for i in ids]) != raw:
                 return False
             flat = np.array(ids, "<i4")
@@ -133,7 +138,8 @@ class Aligner:
             if (ends[at] != stops).any():
                 return False
             body, at = flat.tobytes(), (4 * (at + 1)).tolist()
-            known.update(zip(chunks, [body[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)], strict=True))
+            parts.append([body[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)])
+        self.known.update(zip(chunks, zip(*parts, strict=True), strict=True))
         return True
 
     def learn(self, chunks: list[str]) -> None:
@@ -147,29 +153,38 @@ class Aligner:
         for c in alone:
             if not self.joined([c]):
                 self.bad.add(c)
-                self.known_a[c] = self.known_b[c] = b""
+                self.known[c] = b"", b""
 
     def encode(self, texts: list[str | None]):
         """(ids of A, ids of B) of each text, None without tokens."""
         cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        if len(self.known_a) > REMEMBERED:
-            self.known_a, self.known_b, self.bad = {}, {}, set()
-        known_a, known_b, bad = self.known_a, self.known_b, self.bad
-        new = list(set().union(*cut).difference(known_a))
+        if len(self.known) > REMEMBERED:
+            self.known, self.bad = {}, set()
+        known, bad = self.known, self.bad
+        new = list(set().union(*cut).difference(known))
         self.learn(new)
         for chunks in cut:
             if not chunks or (bad and not bad.isdisjoint(chunks)):
                 yield None
             else:
-                yield tuple(np.frombuffer(b"".join(map(k.__getitem__, chunks)), "<i4").astype(np.int64) for k in (known_a, known_b))
+                a, b = zip(*map(known.__getitem__, chunks), strict=True)
+                yield tuple(np.frombuffer(b"".join(x), "<i4").astype(np.int64) for x in (a, b))
         for c in new:
             if len(c) > LONGEST:
-                known_a.pop(c, None)
-                known_b.pop(c, None)
+                known.pop(c, None)
                 bad.discard(c)
 
-    def ends(self, ids) -> tuple[list[int], list[int]]:
-        return np.cumsum(self.size_a[ids[0]]).tolist(), np.cumsum(self.size_b[ids[1]]).tolist()
+    def digests(self, texts: list[str | None]) -> list[tuple]:
+        """``digest`` of each text; a copy of a text that the worker still remembers is not aligned again."""
+        keys = [hashlib.md5((t or "").encode()).digest() for t in texts]
+        if len(self.done) > COPIES:
+            self.done = {}
+        fresh = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.done}
+        self.done.update(zip(fresh, map(self.digest, self.encode(list(fresh.values()))), strict=True))
+        return [self.done[k] for k in keys]
+
+    def ends(self, ids) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(self.size_a[ids[0]]), np.cumsum(self.size_b[ids[1]])
 
     def digest(self, ids) -> tuple:
         """(n_a, n_b, n_groups, n_links, digest of the groups, distinct linked pairs, their multiplicities) of a text's ids."""
@@ -179,12 +194,12 @@ class Aligner:
             self.pair_text.clear()
         if len(self.groups) > REMEMBERED:
             self.groups = {}
-        a, b, n_b, memo = ids[0].tolist(), ids[1].tolist(), self.n_b, self.groups
+        n_b, memo, raw_a, raw_b = self.n_b, self.groups, ids[0].tobytes(), ids[1].tobytes()
         walked = steps(*self.ends(ids))
-        alone = [s for s in walked if s[4]]
-        size = np.array([s[1] - s[0] for s in alone], np.int64)
+        alone = np.array([s[:3] for s in walked if s[4]], np.int64).reshape(-1, 3)
+        size = alone[:, 1] - alone[:, 0]
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        single = ids[0][np.repeat(np.array([s[0] for s in alone], np.int64), size) + at] * n_b + ids[1][np.repeat(np.array([s[2] for s in alone], np.int64), size) + at]
+        single = ids[0][np.repeat(alone[:, 0], size) + at] * n_b + ids[1][np.repeat(alone[:, 2], size) + at]
         named = list(map(self.pair_text.__getitem__, single.tolist()))
         texts, codes, large, n_links, done = [], [], [], len(named), 0
         for i, i2, j, j2, one_to_one in walked:
@@ -193,22 +208,25 @@ class Aligner:
                 done += i2 - i
                 continue
             n_links += (i2 - i) * (j2 - j)
-            if (i2 - i) * (j2 - j) > EXPANDED:
-                texts.append(",".join(map(str, a[i:i2])) + "|" + ",".join(map(str, b[j:j2])))
-                (u, m), (v, k) = np.unique(ids[0][i:i2], return_counts=True), np.unique(ids[1][j:j2], return_counts=True)
-                large.append((np.add.outer(u * n_b, v).ravel(), np.multiply.outer(m, k).ravel()))
+            key = raw_a[8 * i : 8 * i2], raw_b[8 * j : 8 * j2]
+            if key in memo:
+                text, linked = memo[key]
+                texts.append(text)
+                codes.append(linked)
                 continue
-            key = (*a[i:i2], -1, *b[j:j2])
-            if key not in memo:
-                memo[key] = (",".join(map(str, a[i:i2])) + "|" + ",".join(map(str, b[j:j2])), [x * n_b + y for x in a[i:i2] for y in b[j:j2]])
-            text, linked = memo[key]
-            texts.append(text)
-            codes += linked
-        pairs, times = np.unique(np.concatenate([single, np.array(codes, np.int64)]), return_counts=True)
+            a, b = ids[0][i:i2], ids[1][j:j2]
+            texts.append(",".join(map(str, a.tolist())) + "|" + ",".join(map(str, b.tolist())))
+            if len(a) * len(b) > EXPANDED:
+                (u, m), (v, k) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+                large.append((np.add.outer(u * n_b, v).ravel(), np.multiply.outer(m, k).ravel()))
+            else:
+                codes.append(np.add.outer(a * n_b, b).tobytes())
+                memo[key] = texts[-1], codes[-1]
+        pairs, times = np.unique(np.concatenate([single, np.frombuffer(b"".join(codes), np.int64)]), return_counts=True)
         for p, t in large:
             both, at = np.unique(np.concatenate([pairs, p]), return_inverse=True)
             pairs, times = both, np.bincount(at, np.concatenate([times, t])).astype(np.int64)
-        return len(a), len(b), len(texts), n_links, hashlib.sha256(";".join(texts).encode()).hexdigest(), pairs, times
+        return len(ids[0]), len(ids[1]), len(texts), n_links, hashlib.sha256(";".join(texts).encode()).hexdigest(), pairs, times
 
 
 _aligners: dict = {}
@@ -265,7 +283,7 @@ def linked_pairs(docs: DataFrame, byte_path: str, piece_path: str, id_col: str =
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 250):
-                got = list(zip(*map(t.digest, t.encode(texts[at : at + 250])), strict=True))
+                got = list(zip(*t.digests(texts[at : at + 250]), strict=True))
                 numbers = [pa.array(c, pa.int64()) for c in got[:4]]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, 250), *numbers, pa.array(got[4]), _lists(got[5], pa.int64()), _lists(got[6], pa.int64())], names
