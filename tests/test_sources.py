@@ -61,3 +61,19 @@ def test_listing_selectors(spark):
     assert (best.selector, best.unique_hit, best.date_hit) == ("ul.head_news li", 4, 4)
     assert best.title_selector == "a" and best.date_selector == "span.list_time"
     assert best.score == pytest.approx(4 + 0.35 * 4 + 0.02 * 4)
+
+
+def test_bar_folders(spark, tmp_path):
+    import datetime as dt
+
+    bars = spark.createDataFrame(
+        [(f"{k:06d}", dt.date(2024, 1, 1) + dt.timedelta(d), 1.0, 2.0, 0.5, 1.1 + d, 100.0) for k in range(5) for d in range(k + 1)],
+        "stock_code string, trade_date date, open double, high double, low double, close double, volume double",
+    )
+    path = str(tmp_path / "bars")
+    market.write_market_dir(bars, path)
+    got = market.standardize_ohlcv(market.scan_market_dir(spark, path, folders=True))
+    cols = ["stock_code", "trade_date", "open", "high", "low", "close", "volume"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, bars.select(*cols).collect()))
+    inv = {r.stock_code: (r.data_count, str(r.latest_date), r["size"] > 0) for r in market.storage_inventory(spark, path, folders=True).collect()}
+    assert inv == {f"{k:06d}": (k + 1, f"2024-01-0{k + 1}", True) for k in range(5)}

@@ -63,14 +63,38 @@ def sample_news_window(samples: DataFrame, calendar: DataFrame, news: DataFrame,
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
-def sample_replay(model: DataFrame, market: DataFrame, news_daily: DataFrame, news: DataFrame, keys: DataFrame | None = None, hour: int = 15, minute: int = 0) -> DataFrame:
-    """One audit row per sample: label, market and news rows, news window and leakage check.
+def available_dates(df: DataFrame, limit: int = 120) -> DataFrame:
+    """(stock_code, available_dates): the last ``limit`` dates of each stock as texts, oldest first, cut per task before the shuffle."""
+    w = Window.partitionBy("stock_code").orderBy(F.col("trade_date").desc())
+    last = df.select("stock_code", "trade_date").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+    return last.groupBy("stock_code").agg(F.sort_array(F.collect_list(F.date_format("trade_date", "yyyy-MM-dd"))).alias("available_dates"))
 
-    With ``keys`` (stock_code, trade_date) only those samples; without, every sample.
+
+USED_FIELDS = ["publish_time", "source", "title", "sentiment", "importance"]
+
+
+def used_news(aligned: DataFrame, limit: int = 20) -> DataFrame:
+    """(stock_code, trade_date, used_news): the newest ``limit`` items of each sample day, newest first, cut per task before the shuffle."""
+    w = Window.partitionBy("stock_code", "trade_date").orderBy(F.col("publish_time").desc(), "news_id")
+    item = F.struct("_rn", *USED_FIELDS)
+    first = aligned.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+    in_order = F.sort_array(F.collect_list(item))
+    return first.groupBy("stock_code", "trade_date").agg(F.transform(in_order, lambda x: F.struct(*[x[f].alias(f) for f in USED_FIELDS])).alias("used_news"))
+
+
+def sample_replay(model: DataFrame, market: DataFrame, news_daily: DataFrame, news: DataFrame, keys: DataFrame | None = None, hour: int = 15, minute: int = 0, news_limit: int = 20, dates_limit: int = 120) -> DataFrame:
+    """One audit row per sample: label, market and news rows, news window, the newest items used and a leakage check.
+
+    With ``keys`` (stock_code, trade_date) only those samples, each with its stock's last dates; without, every sample. The
+    count of used news is that of the whole window, the list holds ``news_limit`` of them.
     """
     samples = model if keys is None else model.join(keys, ["stock_code", "trade_date"], "left_semi")
     calendar = calendar_of(market)
     w = Window.partitionBy("stock_code").orderBy("trade_date")
+    aligned = align_news(news, calendar, hour, minute)
+    if keys is not None:
+        aligned = aligned.join(keys, ["stock_code", "trade_date"], "left_semi")
+    listed = used_news(aligned, news_limit)
     used = (
         align_news(news, calendar, hour, minute)
         .groupBy("stock_code", "trade_date")
@@ -100,5 +124,9 @@ def sample_replay(model: DataFrame, market: DataFrame, news_daily: DataFrame, ne
         .join(snapshot(market, "market_snapshot"), keys_of, "left")
         .join(snapshot(news_daily, "news_snapshot"), keys_of, "left")
     )
+    out = out.join(listed, keys_of, "left").withColumn("used_news", F.coalesce("used_news", F.array().cast(listed.schema["used_news"].dataType)))
+    if keys is not None:
+        stocks = model.join(keys.select("stock_code").distinct(), "stock_code", "left_semi")
+        out = out.join(available_dates(stocks, dates_limit), "stock_code", "left")
     ok = F.col("used_latest").isNull() | (F.col("used_latest") <= F.col("window_end"))
     return out.withColumn("strict_time_check_passed", ok)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tickerloom.functions import defaults
 from tickerloom.functions.maths import safe_float
+from tickerloom.operators.calendar import available_dates
 
 KEYS = ["stock_code", "trade_date"]
 
@@ -77,12 +78,16 @@ def lookup_with_default(df: DataFrame, dim: DataFrame, key: str, defaults_by_col
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults_by_column.items()})
 
 
-def daily_feature_lookup(df: DataFrame, code: str, trade_date: str | None = None) -> DataFrame:
-    """One stock's row of a date, or its latest row."""
+def daily_feature_lookup(df: DataFrame, code: str, trade_date: str | None = None, dates_limit: int = 60) -> DataFrame:
+    """One stock's row of a date, or its latest row, with +available and +available_dates (its last ``dates_limit``).
+
+    Where the date has no row, one row without features tells which dates there are; an unknown stock gives no row.
+    """
     rows = df.filter(F.col("stock_code") == code)
-    if trade_date is not None:
-        return rows.filter(F.col("trade_date") == F.lit(trade_date).cast("date"))
-    return rows.orderBy(F.col("trade_date").desc()).limit(1)
+    day = F.lit(trade_date).cast("date") if trade_date is not None else rows.agg(F.max("trade_date")).scalar()
+    found = rows.filter(F.col("trade_date") == day).limit(1).withColumn("available", F.lit(True))
+    out = available_dates(rows, dates_limit).join(found, "stock_code", "left")
+    return out.select(*df.columns, F.coalesce("available", F.lit(False)).alias("available"), "available_dates")
 
 
 def dataset_manifest(tables: dict[str, DataFrame]) -> DataFrame:

@@ -199,6 +199,27 @@ def a5(spark, sf):
     return src.coverage_gate(fx.market(spark, sf), F.lit("2001-11-02").cast("date"), 240).select("stock_code", "trade_date", "close")
 
 
+def bar_folder(spark, sf):
+    """The bars as a directory of one folder per stock below the shared folder."""
+    path = scratch_path(spark, "bars")
+    src.write_market_dir(fx.market(spark, sf), path)
+    return path
+
+
+@query("a4_scan_market_dir", f"SELECT {KEY}, open, high, low, close, volume FROM fx_market", d="open high low close volume", t="trade_date")
+def a4(spark, sf):
+    """Every bar written to its stock's file, found there by name, typed and cleaned."""
+    raw = src.scan_market_dir(spark, bar_folder(spark, sf), folders=True)
+    return src.standardize_ohlcv(raw).select("stock_code", "trade_date", "open", "high", "low", "close", "volume")
+
+
+@query("a7_storage_inventory", "SELECT stock_code, count(*) AS data_count, max(trade_date) AS latest_date, true AS sized FROM fx_market GROUP BY 1", i="data_count", t="latest_date")
+def a7(spark, sf):
+    """Rows and latest day per stock file; a file's size is at least ten characters a row."""
+    inv = src.storage_inventory(spark, bar_folder(spark, sf), folders=True)
+    return inv.select("stock_code", "data_count", "latest_date", (F.col("size") > 10 * F.col("data_count")).alias("sized"))
+
+
 @query("a1_a2_dataset_roundtrip", f"SELECT {KEY}, close, volume FROM fx_market", d="close volume", t="trade_date")
 def a1(spark, sf):
     """Bars written as a named dataset and read back."""

@@ -139,12 +139,49 @@ def a20(spark, sf):
     return panel.feature_readiness(technical.technical_panel(fx.market(spark, sf)), {"technical": TECH, "news": ["news_count"]})
 
 
+cte(
+    "rp_used",
+    """SELECT stock_code, trade_date, string_agg(strftime(publish_time, '%Y-%m-%d %H:%M:%S') || '|' || source || '|' || title || '|' || CAST(CAST(floor(sentiment * 1000 + 0.5) AS BIGINT) AS VARCHAR)
+    || '|' || CAST(CAST(floor(importance * 1000 + 0.5) AS BIGINT) AS VARCHAR), ';' ORDER BY publish_time DESC, news_id) AS news
+    FROM (SELECT *, row_number() OVER (PARTITION BY stock_code, trade_date ORDER BY publish_time DESC, news_id) AS r FROM fx_aligned) WHERE r <= 20 GROUP BY 1, 2""",
+)
+cte(
+    "rp_dates",
+    """SELECT stock_code, string_agg(strftime(trade_date, '%Y-%m-%d'), ',' ORDER BY trade_date) AS available_dates, max(trade_date) AS last_day
+    FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY trade_date DESC) AS r FROM fx_cal) WHERE r <= 120 GROUP BY 1""",
+)
+
+
+def used_text():
+    """The used items of a sample as one text, numbers in thousandths."""
+    mil = lambda x: F.floor(x * 1000 + 0.5).cast("string")
+    one = lambda u: F.concat_ws("|", F.date_format(u["publish_time"], "yyyy-MM-dd HH:mm:ss"), u["source"], u["title"], mil(u["sentiment"]), mil(u["importance"]))
+    return F.array_join(F.transform("used_news", one), ";").alias("used_news")
+
+
+@query(
+    "c13_replay_of_days",
+    """SELECT d.stock_code, d.trade_date, coalesce(news, '') AS used_news, available_dates FROM
+    (SELECT DISTINCT stock_code, trade_date FROM fx_aligned WHERE trade_date IN (SELECT max(trade_date) FROM fx_aligned)) d JOIN rp_dates USING (stock_code) LEFT JOIN rp_used USING (stock_code, trade_date)""",
+    t="trade_date",
+)
+def c13_days(spark, sf):
+    """The samples of the last day that has news: the items they used and their stocks' last dates."""
+    m = fx.market(spark, sf)
+    days = materialize(m.select("stock_code", "trade_date"), "calendar")
+    items = fx.aligned(spark, sf, days).select("stock_code", "trade_date").distinct()
+    keys = items.filter(F.col("trade_date") == items.agg(F.max("trade_date")).scalar())
+    r = cal.sample_replay(days, m, daily(spark, sf, days).select("stock_code", "trade_date", "news_count"), fx.news(spark, sf), keys)
+    return r.select("stock_code", "trade_date", used_text(), F.array_join("available_dates", ",").alias("available_dates"))
+
+
 @query(
     "c13_sample_replay",
     """SELECT c.stock_code, c.trade_date, open_ts AS window_start, close_ts AS window_end, coalesce(used, 0) AS used_news_count, latest AS used_latest,
-    (SELECT count(*) FROM fx_news n WHERE n.stock_code = c.stock_code AND n.publish_time > c.close_ts) AS future_news_count, close AS close, true AS ok
+    (SELECT count(*) FROM fx_news n WHERE n.stock_code = c.stock_code AND n.publish_time > c.close_ts) AS future_news_count, close AS close, true AS ok, coalesce(news, '') AS used_news
     FROM (SELECT *, lag(close_ts) OVER (PARTITION BY stock_code ORDER BY trade_date) AS open_ts FROM fx_cal) c JOIN fx_market m USING (stock_code, trade_date)
-    LEFT JOIN (SELECT stock_code, trade_date, count(*) AS used, strftime(max(publish_time), '%Y-%m-%d %H:%M:%S') AS latest FROM fx_aligned GROUP BY 1, 2) u USING (stock_code, trade_date)""",
+    LEFT JOIN (SELECT stock_code, trade_date, count(*) AS used, strftime(max(publish_time), '%Y-%m-%d %H:%M:%S') AS latest FROM fx_aligned GROUP BY 1, 2) u USING (stock_code, trade_date)
+    LEFT JOIN rp_used USING (stock_code, trade_date)""",
     d="close", i="used_news_count future_news_count", t="trade_date window_start window_end",
 )
 def c13(spark, sf):
@@ -155,7 +192,7 @@ def c13(spark, sf):
     r = cal.sample_replay(base, m, news_daily, fx.news(spark, sf))
     return r.select(
         "stock_code", "trade_date", "window_start", "window_end", "used_news_count", "used_latest", "future_news_count",
-        F.col("market_snapshot.close").alias("close"), F.col("strict_time_check_passed").alias("ok"),
+        F.col("market_snapshot.close").alias("close"), F.col("strict_time_check_passed").alias("ok"), used_text(),
     )
 
 

@@ -400,6 +400,17 @@ def d29(spark, sf):
     return v.select("stock_code", F.posexplode("sector").alias("pos", "value"))
 
 
-@query("c17_daily_feature_lookup", f"SELECT {KEY}, news_count, event_shock_flag FROM nd_daily1 WHERE stock_code = '000003' ORDER BY trade_date DESC LIMIT 1", d="event_shock_flag", i="news_count", t="trade_date")
+C17 = """SELECT d.stock_code, x.trade_date, x.news_count, x.event_shock_flag, x.trade_date IS NOT NULL AS available, dates AS available_dates FROM
+    (SELECT stock_code, string_agg(strftime(trade_date, '%Y-%m-%d'), ',' ORDER BY trade_date) AS dates FROM (SELECT *, row_number() OVER (ORDER BY trade_date DESC) AS r FROM nd_daily1 WHERE stock_code = '000003') WHERE r <= 60 GROUP BY 1) d
+    LEFT JOIN (SELECT * FROM nd_daily1 WHERE stock_code = '000003' AND trade_date = {day}) x USING (stock_code)"""
+LOOKED_UP = "stock_code", "trade_date", "news_count", "event_shock_flag", "available"
+
+
+@query("c17_daily_feature_lookup", C17.format(day="(SELECT max(trade_date) FROM nd_daily1 WHERE stock_code = '000003')"), d="event_shock_flag", i="news_count", t="trade_date")
 def c17(spark, sf):
-    return panel.daily_feature_lookup(daily(spark, sf), "000003").select("stock_code", "trade_date", "news_count", "event_shock_flag")
+    return panel.daily_feature_lookup(daily(spark, sf), "000003").select(*LOOKED_UP, F.array_join("available_dates", ",").alias("available_dates"))
+
+
+@query("c17_lookup_of_a_day_without_row", "SELECT stock_code, available, available_dates FROM (" + C17.format(day="DATE '1970-01-05'") + ")")
+def c17_none(spark, sf):
+    return panel.daily_feature_lookup(daily(spark, sf), "000003", "1970-01-05").select("stock_code", "available", F.array_join("available_dates", ",").alias("available_dates"))

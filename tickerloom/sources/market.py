@@ -10,11 +10,24 @@ CSV_SCHEMA = "date string, open string, high string, low string, close string, v
 FILE_CODE = r"^(\d{6})\.csv$"
 
 
-def scan_market_dir(spark: SparkSession, path: str, schema: str = CSV_SCHEMA) -> DataFrame:
-    """All <code>.csv files of a directory as one table; other files are ignored."""
-    df = spark.read.option("header", True).schema(schema).csv(path)
-    code = F.regexp_extract(F.col("_metadata.file_name"), FILE_CODE, 1)
-    return df.withColumn("stock_code", code).filter(F.col("stock_code") != "")
+def write_market_dir(bars: DataFrame, path: str) -> None:
+    """Bars as a directory with one folder ``file=<code>.csv`` per stock, written by many tasks at once."""
+    cols = [F.date_format("trade_date", "yyyy-MM-dd").alias("date"), "open", "high", "low", "close", "volume"]
+    rows = bars.select(F.concat("stock_code", F.lit(".csv")).alias("file"), *cols)
+    rows.repartition("file").sortWithinPartitions("file", "date").write.partitionBy("file").option("header", True).csv(path)
+
+
+def _bar_files(spark: SparkSession, path: str, schema: str, folders: bool) -> DataFrame:
+    """+stock_code from the name of the file, or of the folder; others are ignored."""
+    df = spark.read.option("header", True).schema(f"{schema}, file string" if folders else schema).csv(path)
+    code = F.regexp_extract(F.col("file") if folders else F.col("_metadata.file_name"), FILE_CODE, 1)
+    named = df.select(*df.drop("file").columns, code.alias("stock_code"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"))
+    return named.filter(F.col("stock_code") != "")
+
+
+def scan_market_dir(spark: SparkSession, path: str, schema: str = CSV_SCHEMA, folders: bool = False) -> DataFrame:
+    """All <code>.csv files of a directory as one table, or with ``folders`` all that ``write_market_dir`` wrote; other files are ignored."""
+    return _bar_files(spark, path, schema, folders).drop("_path", "_size")
 
 
 def standardize_ohlcv(df: DataFrame, days: int | None = None) -> DataFrame:
@@ -42,16 +55,12 @@ def has_recent_data(df: DataFrame, as_of: Column, max_age: int = 1) -> DataFrame
     return last.withColumn("recent", F.datediff(as_of, "last_date") <= max_age)
 
 
-def storage_inventory(spark: SparkSession, path: str, schema: str = CSV_SCHEMA) -> DataFrame:
-    """Rows, latest date and file size per stock of a bar directory."""
-    df = spark.read.option("header", True).schema(schema).csv(path)
-    code = F.regexp_extract(F.col("_metadata.file_name"), FILE_CODE, 1)
-    return (
-        df.select(code.alias("stock_code"), "date", F.col("_metadata.file_size").alias("size"))
-        .filter("stock_code <> ''")
-        .groupBy("stock_code")
-        .agg(F.count("*").alias("data_count"), F.max(F.to_date(parse_timestamp(F.col("date")))).alias("latest_date"), F.max("size").alias("size"))
-    )
+def storage_inventory(spark: SparkSession, path: str, schema: str = CSV_SCHEMA, folders: bool = False) -> DataFrame:
+    """Rows, latest date and size of the files per stock of a bar directory."""
+    rows = _bar_files(spark, path, schema, folders)
+    latest = F.max(F.to_date(parse_timestamp(F.col("date"))))
+    files = rows.groupBy("stock_code", "_path").agg(F.count("*").alias("n"), latest.alias("day"), F.max("_size").alias("size"))
+    return files.groupBy("stock_code").agg(F.sum("n").alias("data_count"), F.max("day").alias("latest_date"), F.sum("size").alias("size"))
 
 
 def inventory_totals(inventory: DataFrame) -> DataFrame:
