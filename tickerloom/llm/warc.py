@@ -76,7 +76,7 @@ def page_records(name: str, page: str, url: str | None, payload: bytes, refers:
     safe = "".join(c for c in (url or f"urn:page:{page}") if c > " " and c != "\x7f")
     fields = [("WARC-Target-URI", safe), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
     if refers is not None:
-        fields += [("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        fields += [("WARC-Refers-To", f"<urn:page:{refers}#{digest(payload)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         return [record("revisit", name, [*fields, ("X-Payload-Length", str(len(payload)))], b"")]
     block = http_message(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -114,8 +114,9 @@ def record_rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str, s
     """(record): every record of the archive as one binary row."""
     pages = pages.select(F.col(id_col).cast("string").alias("page"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     key = F.sha1("payload")
-    first = pages.select("id", key.alias("key")).groupBy("key").agg(F.max("id").alias("owner")).withColumnRenamed("key", "_key")
-    rows = pages.join(first, key == F.col("_key")).select("page", "url", "payload", F.when(F.col("owner").isNull() | F.col("id").eqNullSafe(F.col("owner")), F.lit(None)).otherwise(F.col("owner")).cast("string").alias("refers"))
+    pairs = pages.select("id", key.alias("_key")).groupBy("_key", "id").agg(F.count("*").alias("m"))
+    first = pairs.groupBy("_key").agg(F.max("id").alias("owner"), F.max_by("m", "id").alias("owners"))
+    rows = pages.join(first, key == F.col("_key")).select("page", "url", "payload", F.when(F.col("owner").isNull() | F.col("id").eqNullSafe(F.col("owner")), F.lit(None)).otherwise(F.col("owner")).cast("string").alias("refers"), F.coalesce((F.col("id") == F.col("owner")) & (F.col("owners") == 1), F.lit(False)).alias("referred"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -123,8 +124,9 @@ def record_rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str, s
         task, n = TaskContext.get().partitionId(), 0
         for b in batches:
             out = []
-            for page, url, payload, refers in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                name = f"<urn:page:{'' if page is None else page}#{task}.{n}>"  # unique also where ids repeat
+            for page, url, payload, refers, referred in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                # the response that revisits refer to is named by page and payload; a place keeps the others apart, also where ids repeat
+                name = f"<urn:page:{'' if page is None else page}#{digest(payload)}{'' if referred else f'.{task}.{n}'}>"
                 n += 1
                 out += page_records(name, "" if page is None else page, url, payload, refers, segment)
             if out:
