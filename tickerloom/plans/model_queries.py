@@ -45,12 +45,29 @@ def b49(spark, sf):
     return model_df(spark, sf).select("stock_code", "trade_date", "label_up_5d", "future_ret_5d", "news_count", *FINAL)
 
 
-@query("b46_b47_feature_groups", f"SELECT sum(ret_1d + ret_5d) AS tech, sum(news_count) AS news, sum(relevance_mean + static_concept_count) AS relevance FROM panel_model", d="tech news relevance")
+GROUPS = {
+    "news": [*[c for c in defaults.NEWS_COLUMNS if c in ["news_count", *ALL_DAILY]], *sorted(c for c in ALL_DAILY if c.startswith("event_") and c not in defaults.NEWS_COLUMNS)],
+    "sector": sorted(c for c in ALL_DAILY if c.startswith("sector_")),
+    "tech": list(TECH),
+    "relevance": sorted(c for c in STATIC_COLS if c.startswith(("relevance_", "static_", "stock_sector_"))),
+}
+
+
+@query(
+    "b46_b47_feature_groups",
+    " UNION ALL ".join(
+        f"SELECT '{g}' AS grp, {k} AS pos, '{c}' AS feature, count({c}) AS filled, sum(CAST({c} AS DOUBLE)) AS total FROM panel_model" for g, cols in GROUPS.items() for k, c in enumerate(cols)
+    ),
+    d="total", i="filled pos",
+)
 def b46(spark, sf):
+    """Every column of every group in its order, with its filled rows and sum over the whole panel."""
     m = model_df(spark, sf)
-    g = panel.feature_groups(m)
-    pick = lambda name, *cols: F.sum(sum(F.col(c) for c in cols if c in g[name])).cast("double").alias(name)
-    return m.agg(pick("tech", "ret_1d", "ret_5d"), pick("news", "news_count"), pick("relevance", "relevance_mean", "static_concept_count"))
+    listed = [(g, k, c) for g, cols in panel.feature_groups(m).items() for k, c in enumerate(cols)]
+    assert {c for *_, c in listed} <= set(panel.select_features(m))
+    sums = m.agg(*[F.struct(F.count(c).alias("filled"), F.sum(F.col(c).cast("double")).alias("total")).alias(f"_{i}") for i, (*_, c) in enumerate(listed)])
+    rows = [F.struct(F.lit(g).alias("grp"), F.lit(k).alias("pos"), F.lit(c).alias("feature"), F.col(f"_{i}.filled").alias("filled"), F.col(f"_{i}.total").alias("total")) for i, (g, k, c) in enumerate(listed)]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 @query("b30_b48_sanitize_features", "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN 0.0::DOUBLE ELSE value END AS value, CASE WHEN event_id % 3 = 0 THEN -1.0::DOUBLE ELSE value END AS s FROM events", d="value s", i="event_id")
@@ -89,14 +106,20 @@ def b50(spark, sf):
     return e.select("event_id", r.alias("r")).select("event_id", "r.pct", "r.source")
 
 
-@query("b53_fit_width", "SELECT vec_id, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN list_slice(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), 1, 8) ELSE list_concat(list_slice(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), 1, 5), [0.0::DOUBLE, 0.0, 0.0]) END AS v FROM embeddings)", d="value", i="vec_id pos")
+@query(
+    "b53_fit_width",
+    """SELECT vec_id, w AS width, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value FROM (
+    SELECT vec_id, w, list_resize(list_slice(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), 1, w), w, 0.0::DOUBLE) AS v FROM embeddings, (VALUES (8), (80)) t(w))""",
+    d="value", i="vec_id pos width",
+)
 def b53(spark, sf):
+    """Every whole vector cut to 8 and padded to 80 places."""
     from tickerloom.functions.maths import fit_width
 
     e = fx.table(spark, sf, "embeddings")
     v = F.col("embedding").cast("array<double>")
-    v = F.when(F.col("vec_id") % 2 == 0, v).otherwise(F.slice(v, 1, 5))
-    return e.select("vec_id", F.posexplode(fit_width(v, 8)).alias("pos", "value"))
+    both = [e.select("vec_id", F.lit(w).alias("width"), F.posexplode(fit_width(v, w)).alias("pos", "value")) for w in (8, 80)]
+    return both[0].unionByName(both[1])
 
 
 @query(

@@ -74,9 +74,10 @@ def sentiment(spark, sf):
     return d.select("arrival", kw.alias("keyword"), sem.alias("semantic"), tx.hybrid_sentiment(F.col("body"), F.col("title"), **LEXICON).alias("hybrid"))
 
 
-@query("b35_context_modifier", "SELECT arrival, CASE WHEN contains(c, 'of') THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN contains(c, 'in') THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS modifier FROM (SELECT arrival, right(content, 8) AS c FROM fx_docs)", d="modifier", i="arrival")
+@query("b35_context_modifier", "SELECT arrival, CASE WHEN contains(c, 'of') THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN contains(c, 'in') THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS modifier FROM (SELECT arrival, content AS c FROM fx_docs)", d="modifier", i="arrival")
 def b35(spark, sf):
-    return fx.docs(spark, sf).select("arrival", tx.context_modifier(F.expr("right(content, 8)"), fx.NEGATION, fx.INTENSIFY).alias("modifier"))
+    """Whether a document holds a negation or an intensifier anywhere; single hits: b35_context_modifier_hits."""
+    return fx.docs(spark, sf).select("arrival", tx.context_modifier(F.col("content"), fx.NEGATION, fx.INTENSIFY).alias("modifier"))
 
 
 KEYWORDS = [*fx.POSITIVE, *fx.NEGATIVE]
@@ -124,7 +125,7 @@ def text_rules(spark, sf):
 @query(
     "b_urls",
     """SELECT page_id, regexp_replace(lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS norm,
-    substr(md5('t|2001-01-01 00:00:00|' || url), 1, 12) AS news_id, contains(url, '.example.com/') AS article,
+    substr(md5('t|2001-01-01 00:00:00|' || url), 1, 12) AS news_id, contains(url, '.example.com/') AS article, regexp_matches(url, '(?i)\\.shtml($|\\?)') AS article_own,
     trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[\\s\\x{3000}\\x{a0}]+', ' ', 'g')) AS plain,
     regexp_replace(lower(html), '[^\\p{L}\\p{N}_]+', '', 'g') AS letters FROM pages""",
     i="page_id",
@@ -133,12 +134,13 @@ def b_urls(spark, sf):
     """B5-B8 and B14 on crawled pages."""
     p = fx.table(spark, sf, "pages")
     ts = F.lit("2001-01-01").cast("timestamp")
-    shtml = F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.lit("/20240101/12.shtml"))
+    shtml = F.concat(F.regexp_extract("url", r"^(https?://[^?#]+)", 1), F.lit(".shtml"))  # the page's own path, as an article
     return p.select(
         "page_id",
         codes.normalize_url(F.col("url")).alias("norm"),
         codes.news_id(F.lit("t"), ts, F.col("url")).alias("news_id"),
         codes.article_url_like(shtml, F.lit(".example.com")).alias("article"),
+        codes.article_url_like(F.col("url")).alias("article_own"),
         tx.strip_html(F.col("html")).alias("plain"),
         tx.normalize_text(F.col("html")).alias("letters"),
     )
