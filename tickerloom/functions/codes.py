@@ -65,6 +65,33 @@ def url_host(c: Column) -> Column:
     return F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved; what leads above the root stays at the root."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    step = lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(1)))).otherwise(F.concat(held, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 1, 1), step)
+    return F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def resolve_url(base: Column, link: Column) -> Column:
+    """A link as seen from the page ``base``: absolute links stay, others take scheme, host and folder from the base."""
+    shape = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+    b, r = F.trim(F.coalesce(base, F.lit(""))), F.trim(F.coalesce(link, F.lit("")))
+    of = lambda c, k: F.regexp_extract(c, shape, k)
+    host, path = of(b, 2), of(r, 3)
+    folder = F.when((of(b, 3) == "") & (host != ""), "/").otherwise(F.regexp_extract(of(b, 3), r"(?s)^(.*/)?", 0))
+    whole = _without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)))
+    own = F.concat(of(b, 1), host)
+    joined = (
+        F.when(of(r, 2) != "", F.concat(of(b, 1), r))
+        .when(path != "", F.concat(own, whole, of(r, 4), of(r, 5)))
+        .when(of(r, 4) != "", F.concat(own, of(b, 3), of(r, 4), of(r, 5)))
+        .otherwise(F.concat(own, of(b, 3), of(b, 4), of(r, 5)))
+    )
+    return F.when(r == "", b).when((b == "") | (of(r, 1) != ""), r).otherwise(joined)
+
+
 def article_url_like(url: Column, host: Column | None = None) -> Column:
     """URL of an article page, optionally on the given host."""
     netloc = url_host(url)

@@ -406,6 +406,24 @@ def a14(spark, sf):
     return feeds.normalize_feed_xml(per.select(xml.alias("xml")))
 
 
+@query(
+    "a14_feed_details",
+    """SELECT 't' || CAST(event_id AS VARCHAR) AS title, event_type AS content, strftime(ts, '%Y-%m-%d') AS publish_time, 'wire' AS source,
+    CASE event_id % 4 WHEN 0 THEN 'https://e.com/' WHEN 1 THEN 'https://e.com/n/' WHEN 2 THEN 'https://other.org/' ELSE 'https://e.com/feeds/rss.xml?id=' END || CAST(event_id AS VARCHAR) AS url FROM events""",
+)
+def a14_details(spark, sf):
+    """Events as items of a tag of their own with namespaced fields and links relative to the feed."""
+    e = fx.table(spark, sf, "events")
+    eid, k = F.col("event_id").cast("string"), F.col("event_id") % 4
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    link = F.concat(F.when(k == 0, "../").when(k == 1, "/x/../n/./").when(k == 2, "//other.org/").otherwise("?id="), eid)
+    item = tag("news", F.concat(tag("title", F.concat(F.lit("t"), eid)), tag("content:encoded", F.col("event_type")), tag("dc:date", F.date_format("ts", "yyyy-MM-dd")), tag("link", link)))
+    per = e.select(F.floor(F.col("event_id") / 25).alias("b"), item.alias("x")).groupBy("b").agg(F.array_join(F.collect_list("x"), "").alias("x"))
+    spaces = '<rss xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>c</title>'
+    feed = per.select(F.concat(F.lit(spaces), "x", F.lit("</channel></rss>")).alias("xml"))
+    return feeds.normalize_feed_xml(feed, source_name="wire", item_tag="news", feed_url="https://e.com/feeds/rss.xml?page=1")
+
+
 @query(
     "a15_extract_listing_html",
     """SELECT page_id, unnest(list_filter(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1), lambda x: true)) AS href FROM pages""",

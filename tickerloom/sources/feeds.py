@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom.functions import defaults
-from tickerloom.functions.codes import article_url_like
+from tickerloom.functions.codes import article_url_like, resolve_url
 
 # JSON paths tried when the field map names none.
 JSON_FALLBACKS = {
@@ -101,29 +101,52 @@ def normalize_json_feed(payloads: DataFrame, list_path: str = "", field_map: dic
 
 _LINK = "array<struct<_VALUE:string,_href:string>>"
 _ITEM = (
-    "struct<title:string,description:string,content:string,summary:string,"
-    f"pubDate:string,published:string,updated:string,source:string,author:string,link:{_LINK},guid:string,id:string>"
+    "struct<title:string,description:string,content:string,summary:string,`content:encoded`:string,"
+    f"pubDate:string,published:string,updated:string,`dc:date`:string,source:string,author:string,link:{_LINK},guid:string,id:string>"
 )
-FEED_SCHEMA = f"channel struct<item:array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ITEM}>"
+FEED_LISTS = ("", "channel", "items", "channel.items")  # where items stand below the root
 
 
-def normalize_feed_xml(feeds: DataFrame, col: str = "xml", source_name: str = "", as_of: str = "") -> DataFrame:
-    """RSS items and Atom entries as rows (title, content, publish_time, source, url)."""
+def _feed_items(tags: list[str]) -> tuple[str, list[str]]:
+    """Schema of a feed whose items have one of the tags, and the paths of its item lists."""
+    if bad := [t for t in tags if not re.fullmatch(r"[\w:.-]+", t)]:
+        raise ValueError(f"no tag names: {bad}")
+    own = ", ".join(f"`{t}` array<{_ITEM}>" for t in tags)
+    inner = own.replace("` array", "`: array")
+    nested = {"channel", "items"} - set(tags)
+    fields = [own]
+    if "items" in nested:
+        fields.append(f"items struct<{inner}>")
+    if "channel" in nested:
+        fields.append(f"channel struct<{inner}" + (f", items: struct<{inner}>>" if "items" in nested else ">"))
+    lists = [p for p in FEED_LISTS if set(p.split(".")) - {""} <= nested]
+    return ", ".join(fields), [f"d.{p + '.' if p else ''}`{t}`" for p in lists for t in tags]
+
+
+def normalize_feed_xml(feeds: DataFrame, col: str = "xml", source_name: str = "", as_of: str = "", item_tag: str | None = None, feed_url: Column | str | None = None) -> DataFrame:
+    """RSS items and Atom entries, or elements of ``item_tag``, as rows (title, content, publish_time, source, url).
+
+    Links that do not begin with http are resolved against ``feed_url``, a text or a column.
+    """
     keep = [c for c in feeds.columns if c != col]
-    doc = feeds.select(*keep, F.from_xml(F.col(col), FEED_SCHEMA).alias("d"))
+    schema, lists = _feed_items([item_tag] if item_tag else ["item", "entry"])
+    seen = F.lit(feed_url) if isinstance(feed_url, str) else feed_url
+    base = F.lit("") if seen is None else F.coalesce(seen, F.lit(""))
+    doc = feeds.select(*keep, base.alias("_base"), F.from_xml(F.col(col), schema).alias("d"))
     none = F.array().cast(f"array<{_ITEM}>")
-    items = F.concat(*[F.coalesce(x, none) for x in (F.col("d.channel.item"), F.col("d.item"), F.col("d.entry"))])
-    rows = doc.select(*keep, F.explode(items).alias("i"))
-    text = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(f"i.{n}")), F.lit("")) for n in names], F.lit(""))
+    items = F.concat(*[F.coalesce(F.col(x), none) for x in lists])
+    rows = doc.select(*keep, "_base", F.explode(items).alias("i"))
+    text = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(f"i.`{n}`")), F.lit("")) for n in names], F.lit(""))
     link = F.get(F.col("i.link"), 0)
     url = F.coalesce(
         F.nullif(F.trim(link["_href"]), F.lit("")), F.nullif(F.trim(link["_VALUE"]), F.lit("")), F.nullif(text("guid", "id"), F.lit("")), F.lit("")
     )
-    time, source = text("pubDate", "published", "updated"), text("source", "author")
+    url = F.when((url == "") | url.startswith("http://") | url.startswith("https://"), url).otherwise(resolve_url(F.col("_base"), url))
+    time, source = text("pubDate", "published", "updated", "dc:date"), text("source", "author")
     return rows.select(
         *keep,
         text("title").alias("title"),
-        text("description", "content", "summary").alias("content"),
+        text("description", "content", "summary", "content:encoded").alias("content"),
         F.when(time == "", as_of).otherwise(time).alias("publish_time"),
         F.when(source == "", source_name).otherwise(source).alias("source"),
         url.alias("url"),
