@@ -582,8 +582,11 @@ ML_COLS = ["ret_1d", "ret_5d", "ret_20d", "vol_5d", "vol_20d", "rsi", "macd", "b
 
 @query("h5_standardize", "SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in ("rsi", "macd", "volume_ratio")) + " FROM tech", d=" ".join(f"m_{c} s_{c}" for c in ("rsi", "macd", "volume_ratio")))
 def h5(spark, sf):
-    p = technical.technical_panel(fx.market(spark, sf))
-    return p.agg(*[x for c in ("rsi", "macd", "volume_ratio") for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
+    """The means and deviations that the operator fits on every bar's indicators."""
+    from tickerloom.operators import ml
+
+    fitted = ml.standardize(technical.technical_panel(fx.market(spark, sf)), ["rsi", "macd", "volume_ratio"])
+    return spark.range(1).select(*[F.lit(v).alias(f"{k}_{c}") for c, pair in fitted.items() for k, v in zip("ms", pair, strict=True)])
 
 
 PREP = "rsi macd volume_ratio"
