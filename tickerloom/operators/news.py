@@ -152,3 +152,27 @@ def recent_periods(reports: DataFrame, n: int = 4, key: str = "stock_code", peri
         .groupBy(key, period)
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("item", "value")))).alias("ratios"))
     )
+
+
+# Fields of an announcement and of a research report.
+ANNOUNCEMENT_FIELDS = ["title", "type", "date", "url"]
+REPORT_FIELDS = ["title", "institution", "rating", "date", "author"]
+
+
+def _first_entries(entries: DataFrame, fields: list[str], limit: int, key: str, order: str) -> DataFrame:
+    """The first ``limit`` entries of each company in their source's order, fields as texts, missing ones empty; cut
+    per task before the shuffle."""
+    w = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last(), *fields)
+    text = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in entries.columns else F.lit("").alias(f) for f in fields]
+    rows = entries.select(key, order, *text).withColumn("place", F.row_number().over(w))
+    return rows.filter(F.col("place") <= limit).select(key, "place", *fields)
+
+
+def company_announcements(entries: DataFrame, limit: int = 20, key: str = "stock_code", order: str = "seq") -> DataFrame:
+    """(stock_code, place, title, type, date, url): each company's first announcements as listed."""
+    return _first_entries(entries, ANNOUNCEMENT_FIELDS, limit, key, order)
+
+
+def research_reports(entries: DataFrame, limit: int = 10, key: str = "stock_code", order: str = "seq") -> DataFrame:
+    """(stock_code, place, title, institution, rating, date, author): each company's first research reports as listed."""
+    return _first_entries(entries, REPORT_FIELDS, limit, key, order)

@@ -235,6 +235,35 @@ def e24(spark, sf):
     return r.select("stock_code", "period", F.round(F.coalesce(F.try_element_at("ratios", F.lit("O")), F.lit(0.0)), 2).alias("o"))
 
 
+@query(
+    "e24_company_announcements",
+    """SELECT * FROM (SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS stock_code, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, o_orderpriority AS title, o_orderstatus AS type,
+    strftime(o_orderdate, '%Y-%m-%d') AS date, 'o/' || CAST(o_orderkey AS VARCHAR) AS url FROM orders) WHERE place <= 20""",
+    i="place",
+)
+def e24_announcements(spark, sf):
+    """Orders as announcements of their customers, in order of their numbers."""
+    o = fx.table(spark, sf, "orders")
+    day = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd")
+    listed = o.select(codes.pad_code(F.col("o_custkey")).alias("stock_code"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("type"), day.alias("date"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("url"))
+    return nw.company_announcements(listed)
+
+
+@query(
+    "e24_research_reports",
+    """SELECT * FROM (SELECT lpad(CAST(o_custkey % 50 AS VARCHAR), 6, '0') AS stock_code, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS place, 'r' || CAST(o_orderkey AS VARCHAR) AS title,
+    CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS institution, o_orderstatus AS rating, strftime(o_orderdate, '%Y-%m-%d') AS date, '' AS author FROM orders) WHERE place <= 10""",
+    i="place",
+)
+def e24_reports(spark, sf):
+    """Orders as reports on fifty busy companies; some name no institution, none an author."""
+    o = fx.table(spark, sf, "orders")
+    day = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd")
+    house = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))
+    listed = o.select(codes.pad_code(F.col("o_custkey") % 50).alias("stock_code"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("title"), house.alias("institution"), F.col("o_orderstatus").alias("rating"), day.alias("date"))
+    return nw.research_reports(listed)
+
+
 @query(
     "b_codes",
     """SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS pad, CASE WHEN length(d) > 6 THEN right(d, 6) ELSE lpad(d, 6, '0') END AS digits,
